@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from leafmill.llm import simhash
+from leafmill.llm import bpe, simhash
 
 QUERIES = {
+    "op2_bpe": bpe.query,
     "op3_simhash": simhash.query,
 }
 
