@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,8 +23,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named or spark.sparkContext.getCheckpointDir()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session; they need not have it on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_leafmill_shipped", False):
+        return
+    top = Path(__file__).resolve().parent
+    to = Path(tempfile.mkdtemp(prefix="leafmill-")) / "leafmill.zip"
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    context.addPyFile(str(to))
+    context._leafmill_shipped = True
+
+
 def small_arrow_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Bound what one Arrow batch holds, so that long texts cannot fill a worker."""
+    """Make ready for Python workers: bound what one Arrow batch holds, so that long texts cannot fill a worker."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
