@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from leafmill.llm import bpe, simhash
+from leafmill.llm import bpe, chat, mpeg, simhash
 
 QUERIES = {
+    "op1_chat": chat.query,
     "op2_bpe": bpe.query,
     "op3_simhash": simhash.query,
+    "op7_mpeg": mpeg.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
