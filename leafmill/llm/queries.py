@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from leafmill.llm import bpe, chat, mpeg, simhash
+from leafmill.llm import bpe, chat, mpeg, simhash, tiling
 
 QUERIES = {
     "op1_chat": chat.query,
     "op2_bpe": bpe.query,
     "op3_simhash": simhash.query,
     "op7_mpeg": mpeg.query,
+    "op8_tiling": tiling.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
