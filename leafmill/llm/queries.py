@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from leafmill.llm import bpe, chat, mpeg, simhash, tiling
+from leafmill.llm import bpe, chat, mpeg, simhash, templates, tiling
 
 QUERIES = {
     "op1_chat": chat.query,
     "op2_bpe": bpe.query,
     "op3_simhash": simhash.query,
+    "op6_templates": templates.query,
     "op7_mpeg": mpeg.query,
     "op8_tiling": tiling.query,
 }
