@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from leafmill.llm import bpe, chat, langid, mpeg, simhash, templates, tiling
+from leafmill.llm import bpe, chat, langid, mpeg, quality, simhash, templates, tiling
 
 QUERIES = {
     "op1_chat": chat.query,
     "op2_bpe": bpe.query,
     "op3_simhash": simhash.query,
     "op4_langid": langid.query,
+    "op5_quality": quality.query,
     "op6_templates": templates.query,
     "op7_mpeg": mpeg.query,
     "op8_tiling": tiling.query,
