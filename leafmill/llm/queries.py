@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmill.llm import bpe, chat, langid, mpeg, quality, simhash, templates, tiling
+from leafmill.llm import bpe, chat, langid, mpeg, quality, rollups, simhash, templates, tiling, warc
 
 QUERIES = {
     "op1_chat": chat.query,
@@ -13,6 +13,11 @@ QUERIES = {
     "op6_templates": templates.query,
     "op7_mpeg": mpeg.query,
     "op8_tiling": tiling.query,
+    "op9_warc": warc.query,
+    "op10_rollups": rollups.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": warc.SQL,
+    "op10_rollups": rollups.SQL,
+}
