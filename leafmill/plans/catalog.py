@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from leafmill.plans import filtering, layout, privacy, segments
+
+QUERIES = {**layout.QUERIES, **filtering.QUERIES, **segments.QUERIES, **privacy.QUERIES}
+ORACLE_SQL = {**layout.ORACLE_SQL, **filtering.ORACLE_SQL, **segments.ORACLE_SQL, **privacy.ORACLE_SQL}
