@@ -8,11 +8,12 @@ of its tokens. Lines of recurring templates are dropped from every document but
 template, so that a text that exists in many copies isn't lost with its copies; `keep_first=False` drops there too.
 
 Statistics are taken of distinct lines with their counts, all combined before they are shuffled, so a line in a third of
-all documents is one row; only hashes of lines travel, except for lines in leaves that recur. Documents are shuffled
+all documents is one row; only hashes of lines travel, except for lines in leaves that recur. The hashes of these leaves
+are broadcast if they are at most `broadcast_leaves`, which is counted first; if more, lines are shuffled to meet them. Documents are shuffled
 once, by id and hash of the text, to meet the hashes of their dropped lines. Lines are known by 64-bit hashes: among 10^11
 distinct lines about 300 pairs share one.
 
-Defined results: lines are split at newlines, tokens at white space; lines of fewer than `min_tokens` tokens (empty ones
+Defined results: lines are split at newlines, tokens at spaces, tabs and carriage returns; lines of fewer than `min_tokens` tokens (empty ones
 too) are never dropped; null text stays null; texts that lose all lines become empty, the row stays; rows that repeat
 with equal id and text are one document and are treated alike; null doc_ids come last in the order of documents; other
 columns pass through, under any names but those that begin with __lt_.
@@ -23,11 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.session import checkpoint_dir
+
 ID, HASH = "__lt_id", "__lt_hash"
 
 
 def tokens(line: Column) -> Column:
-    return F.filter(F.split(line, r"\s+"), lambda t: t != "")
+    spaced = F.replace(F.replace(line, F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+    return F.filter(F.split(spaced, " "), lambda t: t != "")
 
 
 def leaf(cut: Column, leading: int) -> Column:
@@ -36,13 +40,16 @@ def leaf(cut: Column, leading: int) -> Column:
     return F.xxhash64(F.size(cut), masked)
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = 3, leading: int = 3, similarity: float = 0.7, min_tokens: int = 3) -> tuple[DataFrame, DataFrame]:
+def recurring_lines(docs: DataFrame, min_docs: int = 3, leading: int = 3, similarity: float = 0.7, min_tokens: int = 3, broadcast_leaves: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(line, template) by hashes for lines whose template may recur, and (template, docs, first document) of those that do."""
+    checkpoint_dir(docs.sparkSession)
     held = docs.select(F.col("doc_id").alias(ID), F.xxhash64("text").alias(HASH), "text").where("text is not null")
     each = held.select(ID, HASH, F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
     parsed = each.select(ID, HASH, "line", tokens(F.col("line")).alias("cut")).where(F.size("cut") >= min_tokens)
     placed = parsed.select("line", leaf(F.col("cut"), leading).alias("leaf"))
-    full = placed.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    full = placed.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf").checkpoint()
+    if full.count() <= broadcast_leaves:
+        full = F.broadcast(full)
     distinct = placed.join(full, "leaf", "left_semi").groupBy("leaf", "line").agg(F.count("*").alias("n"))
     cut = distinct.select("leaf", F.xxhash64("line").alias("lh"), "n", tokens(F.col("line")).alias("cut"))
     each_token = cut.select("leaf", "lh", "n", F.size("cut").alias("size"), F.posexplode("cut").alias("at", "token"))
