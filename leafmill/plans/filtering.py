@@ -1,2 +1,74 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Queries over filtering: presets, mappings, metrics."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafmill.model import DESCRIPTIONS, PRESETS, FilterConfig
+from leafmill.operators import filtering
+from leafmill.plans.inputs import BLANK_SAFE, ELEMENTS, LITERAL_LEVEL, PARAGRAPHS, PARENT, heads_sql, layout_elements
+
+CUSTOM = FilterConfig("custom", ("pageNumber", "parentSection", "elementIndex"), include_element_ids=False)
+# What each field is in SQL.
+SQL_FIELDS = {
+    "_id": "id", "content": "content", "pageNumber": "page_number", "role": "role", "elementType": "element_type", "elementIndex": "seq AS element_index",
+    "parentSection": f"{PARENT} AS parent_section", "pageHeader": "page_header", "pageFooter": "CAST(NULL AS VARCHAR) AS page_footer", "documentMetadata": "CAST(NULL AS VARCHAR) AS document_metadata",
+}
+KEPT = f"WITH {PARAGRAPHS}, {ELEMENTS}, {heads_sql('elements', LITERAL_LEVEL)}, kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS filtered_index FROM headed WHERE {BLANK_SAFE} AND id IS NOT NULL)"
+
+
+def _filter(config: FilterConfig, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtering.filter_elements(layout_elements(spark, sf_dir), config)
+
+
+def _sql(fields: tuple[str, ...]) -> str:
+    if "*" in fields:
+        return f"{KEPT} SELECT doc_id, filtered_index, id, content, role, element_type, page_number, page_header FROM kept"
+    own = [SQL_FIELDS[f] for f in fields]
+    if "content" not in fields:
+        own.append("regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS content")
+    return f"{KEPT} SELECT doc_id, filtered_index, {', '.join(own)} FROM kept"
+
+
+def element_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtering.element_mappings(layout_elements(spark, sf_dir))
+
+
+def filter_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtering.counts(layout_elements(spark, sf_dir))
+
+
+def filter_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes as Python's json.dumps writes them, and of compact JSON."""
+    e = layout_elements(spark, sf_dir)
+    return filtering.sizes(e).join(filtering.python_json_size(e), "doc_id")
+
+
+def excluded_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtering.excluded_fields(layout_elements(spark, sf_dir), FilterConfig("citation_optimized"))
+
+
+def filter_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtering.presets(spark)
+
+
+QUERIES = {f"filter_{p}": partial(_filter, FilterConfig(p)) for p in PRESETS} | {
+    "filter_custom": partial(_filter, CUSTOM),
+    "element_mappings": element_mappings,
+    "filter_metrics": filter_metrics,
+    "filter_sizes": filter_sizes,
+    "excluded_fields": excluded_fields,
+    "filter_presets": filter_presets,
+}
+ORACLE_SQL = {f"filter_{p}": _sql(f) for p, f in PRESETS.items()} | {
+    "filter_custom": _sql(CUSTOM.fields),
+    "element_mappings": f"{KEPT} SELECT doc_id, filtered_index, id AS element_id, coalesce(role, 'unknown') AS element_type, page_number, md5(content) AS content_hash FROM kept",
+    "filter_metrics": f"""WITH {PARAGRAPHS}, {ELEMENTS}, n AS (SELECT doc_id, count(*) AS total_elements, count(*) FILTER ({BLANK_SAFE} AND id IS NOT NULL) AS filtered_elements FROM elements GROUP BY doc_id)
+SELECT *, round((total_elements - filtered_elements) * 100.0::DOUBLE / total_elements, 6) AS dropped_percent FROM n""",
+    "excluded_fields": f"""WITH {PARAGRAPHS}, {ELEMENTS}, left_over AS (SELECT doc_id, unnest(keys) AS field FROM elements WHERE {BLANK_SAFE})
+SELECT doc_id, string_agg(field, ',' ORDER BY field) AS excluded_fields FROM (SELECT DISTINCT doc_id, field FROM left_over WHERE field NOT IN ('_id', 'id', 'content', 'pageNumber', 'elementIndex', 'pageFooter')) d GROUP BY doc_id""",
+    "filter_presets": " UNION ALL ".join(f"SELECT '{p}' AS preset, '{','.join(f)}' AS fields, '{DESCRIPTIONS[p]}' AS description" for p, f in PRESETS.items()),
+}
