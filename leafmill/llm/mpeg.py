@@ -4,8 +4,8 @@ durations and frame offsets stored.
 `store` writes bytes into MPEG-1 Layer III frames: an ID3v2 tag with the payload's length, an information frame with the
 variable-bitrate table, then CRC-protected frames of silence that carry the bytes as ancillary data, each frame of the
 smallest bitrate that holds what is left. `read` takes any MPEG audio: it finds frames of MPEG-1, 2 and 2.5, all layers,
-by headers that chain (a header counts if another, or the end, stands where its frame ends), skips what is no frame and
-counts those bytes. Layer III checksums are verified; other layers' are counted as unchecked.
+by headers that chain (a header counts if it stands right after a frame of its kind, or if another header or the end
+stands where its own frame ends), skips what is no frame and counts those bytes. Layer III checksums are verified; other layers' are counted as unchecked.
 
 Defined results: null text is empty text; null media give null values; media without any frame give 0 frames, 0 samples
 and a null payload; texts of any length are stored whole; repeated rows repeat; other columns are ignored.
@@ -185,11 +185,12 @@ def parse(data: bytes) -> Audio:
     out = Audio()
     out.tags, at = read_tags(data)
     end = len(data) - 128 if data[-128:-125] == b"TAG" and len(data) - 128 >= at else len(data)
-    carried, first = [], True
+    carried, first, last, begin = [], True, None, at
     while at + 4 <= end:
         h = header(data[at : at + 4])
         after = at + h.length if h else 0
-        if h is None or after > end or (after + 4 <= end and header(data[after : after + 4]) is None):
+        follows = h is not None and at == begin and last is not None and (h.version, h.layer, h.rate) == (last.version, last.layer, last.rate)
+        if h is None or after > end or (not follows and after + 4 <= end and header(data[after : after + 4]) is None):
             sync = data.find(b"\xff", at + 1, end)  # the next place where a header may begin
             out.skipped += (end if sync < 0 else sync) - at
             at = end if sync < 0 else sync
@@ -212,7 +213,8 @@ def parse(data: bytes) -> Audio:
             if h.layer == 3:
                 carried.append(frame[4 + 2 * h.protected + h.side :])
         out.rate, out.version, out.layer = h.rate, h.version, h.layer
-        at = after
+        at = begin = after
+        last = h
     out.skipped += max(0, end - at)
     owner, _, size = out.tags.get("PRIV", b"").partition(b"\0")
     if owner == OWNER:
