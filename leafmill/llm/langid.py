@@ -186,6 +186,11 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(True))
 
 
+def few(rows: DataFrame, most: int = 200_000) -> DataFrame:
+    """rows, to be broadcast if they are at most so many, which is counted; a sample has a bounded number for each label."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def sample(docs: DataFrame, label: str, per_label: int, max_words: int) -> list[tuple[str, list[str]]]:
     """At most per_label texts of each label, as (label, up to max_words words in a row), chosen by hash of doc_id.
 
@@ -193,7 +198,7 @@ def sample(docs: DataFrame, label: str, per_label: int, max_words: int) -> list[
     """
     order = F.xxhash64("doc_id")
     chosen = docs.select(F.col(label).alias("label"), "doc_id").where(F.col(label).isNotNull()).groupBy("label", F.pmod(order, F.lit(per_label)).alias("bucket")).agg(F.min(F.struct(order.alias("h"), F.col("doc_id"))).alias("m"))
-    ids = chosen.select(F.col("m.doc_id").alias("doc_id")).distinct()
+    ids = few(chosen.select(F.col("m.doc_id").alias("doc_id")).distinct())
     rows = docs.select("doc_id", F.col(label).alias("label"), "text").where("label is not null").join(ids, "doc_id", "left_semi")
     small_arrow_batches(docs.sparkSession)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.langid import held_out, split_texts
+from leafmill.llm.langid import few, held_out, split_texts
 from leafmill.session import small_arrow_batches
 
 PASSAGE = 64
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     order = F.xxhash64("doc_id")
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     chosen = known.groupBy("y", F.pmod(order, F.lit(per_class)).alias("bucket")).agg(F.min(F.struct(order.alias("h"), F.col("doc_id"))).alias("m")).select("y", F.col("m.doc_id").alias("doc_id"))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id")
+    rows = docs.select("doc_id", "text").join(few(chosen), "doc_id")
     small_arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
