@@ -35,7 +35,7 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\
 #: Characters outside these long-settled ranges are left to the library, whose Unicode tables may differ from Python's.
 RARE = regex.compile(r"[^\x00-\u0233\u0386\u0388-\u038A\u038C\u038E-\u03A1\u03A3-\u03CE\u0400-\u0481\u1E00-\u1E99\u2000-\u2063\u20A0-\u20B1\u3041-\u3094\u30A1-\u30FA\u4E00-\u9FA5]")
 END = 256  # added to the symbol of a word's last byte
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
 KNOWN_PAIRS = 1_000_000
 
 
