@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_templates": templates.SQL,
     "op9_warc": warc.SQL,
     "op10_rollups": rollups.SQL,
 }

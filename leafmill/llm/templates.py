@@ -85,3 +85,26 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, leading: int = 3, similarity
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return done.select("doc_id", F.col("__lt_lines").cast("long").alias("n_lines"), F.col("__lt_dropped").cast("long").alias("n_dropped"), "text")
+
+
+SQL = r"""
+WITH held AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL
+), each_line AS (SELECT doc_id, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM held
+), cut AS (SELECT *, list_filter(string_split(replace(replace(line, chr(9), ' '), chr(13), ' '), ' '), lambda t: t <> '') AS tk FROM each_line
+), placed AS (
+  SELECT *, len(tk) || '|' || array_to_string(list_transform(tk[1:3], lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), ' ') AS leaf FROM cut WHERE len(tk) >= 3
+), recurring_leaf AS (SELECT leaf FROM placed GROUP BY leaf HAVING count(*) >= 3
+), lines AS (SELECT leaf, line, count(*) AS n, any_value(tk) AS tk FROM placed JOIN recurring_leaf USING (leaf) GROUP BY leaf, line
+), tok AS (SELECT leaf, line, n, len(tk) AS size, unnest(tk) AS token, unnest(range(len(tk))) AS place FROM lines
+), constant AS (SELECT leaf, place, token FROM tok GROUP BY leaf, place, token HAVING sum(n) >= 3
+), fixed AS (SELECT leaf, line, size, string_agg(place || ':' || token, ' ' ORDER BY place) AS kept, count(*) AS k FROM tok JOIN constant USING (leaf, place, token) GROUP BY leaf, line, size
+), template_of AS (SELECT line, leaf || '#' || kept AS template FROM fixed WHERE k >= 0.7 * size
+), recurring AS (
+  SELECT template, min(doc_id) AS first_doc FROM (SELECT DISTINCT template, doc_id FROM each_line JOIN template_of USING (line)) h GROUP BY template HAVING count(*) >= 3
+), gone AS (
+  SELECT e.doc_id, list(e.line) AS lines FROM each_line e JOIN template_of t ON e.line = t.line JOIN recurring r ON t.template = r.template WHERE e.doc_id <> r.first_doc GROUP BY e.doc_id
+), done AS (
+  SELECT d.doc_id, string_split(d.text, chr(10)) AS parts, list_filter(string_split(d.text, chr(10)), lambda x: NOT coalesce(list_contains(g.lines, x), false)) AS kept_lines FROM documents d LEFT JOIN gone g ON d.doc_id = g.doc_id
+)
+SELECT doc_id, CAST(len(parts) AS BIGINT) AS n_lines, CAST(len(parts) - len(kept_lines) AS BIGINT) AS n_dropped, array_to_string(kept_lines, chr(10)) AS text FROM done
+"""
