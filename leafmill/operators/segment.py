@@ -23,8 +23,8 @@ def number_segments(elements: DataFrame, least: int, most: int, rule: str, key:
     `most`; numbers begin at 1. rule "filtered": it ends before what takes it over `most`, whatever it holds, or, of at
     least `least` tokens, before such a heading; numbers begin at 0.
 
-    The rule depends on the tokens since the last cut, a fold over a document's rows; rows are sorted within partitions
-    and streamed, with one counter as state.
+    The rule depends on the tokens since the last cut, a fold over a document's rows; rows are streamed in order, with one
+    counter as state. A window function asks for that order, so rows already dealt by key are not shuffled again.
     """
     check_limits(least, most)
     if rule not in ("rich", "filtered"):
@@ -48,9 +48,10 @@ def number_segments(elements: DataFrame, least: int, most: int, rule: str, key:
                 held += tokens
                 filled = True
                 out.append(number)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=[*b.schema.names, "segment_id"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.int32())], names=[*names, "segment_id"])
 
-    ordered = elements.repartition(key).sortWithinPartitions(key, "seq")
+    names = elements.columns
+    ordered = elements.withColumn("__place", F.row_number().over(Window.partitionBy(key).orderBy("seq")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in elements.schema.fields)
     return ordered.mapInArrow(run, f"{schema}, segment_id int")
 
