@@ -329,7 +329,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keys: tuple[str,
 
 
 def keep_known(docs: DataFrame, model: Model, least_score: float = 0.3) -> DataFrame:
-    """The rows of docs, with all columns, whose text has a language by a score of at least least_score."""
+    """The rows of docs, with all columns, whose text has a language by a score of at least least_score.
+
+    A model that has learned no language rejects only texts without a letter.
+    """
     spark = docs.sparkSession
     small_arrow_batches(spark)
     sent = spark.sparkContext.broadcast(model)
@@ -338,7 +341,8 @@ def keep_known(docs: DataFrame, model: Model, least_score: float = 0.3) -> DataF
         labeller = Labeller(sent.value)
         for b in batches:
             for at, texts in split_texts(b.column("text").to_pylist()):
-                keep = [x != UNKNOWN and s >= least_score for x, s in labeller.documents(texts)]
+                found = labeller.documents(texts) if sent.value.languages else [("any", 1.0) if words(t) else (UNKNOWN, 0.0) for t in texts]
+                keep = [x != UNKNOWN and s >= least_score for x, s in found]
                 yield b.slice(at, len(texts)).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -121,4 +121,5 @@ def test_nulls_and_empty(spark):
     assert langid.keep_known(docs, m).columns == docs.columns and langid.keep_known(docs, m).where("doc_id in (1, 2, 3)").count() == 0
     none = langid.fit(docs.where(F.lit(False)))
     assert {r["lang_pred"] for r in langid.predict(docs, none).collect()} == {"und"}
+    assert langid.keep_known(docs, none).count() == 4
     assert langid.predict(docs.limit(0), m).count() == 0
