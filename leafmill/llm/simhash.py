@@ -10,6 +10,11 @@ A bucket of over `bucket_limit` members emits no pairs. Its members are linked e
 fingerprints are within 2 bits if and only if the balls of radius 1 around them meet, so each member sends its 65 ball
 keys and everyone at a key is linked to the smallest member there. That needs radius 2; smaller radii verify the star.
 
+Two bits of 64 are far stricter than a similarity of 0.8. For that, `keep_one_of_similar` (the pipeline's stage) takes a
+longer SimHash of distinct five-word shingles: as its radius is below the number of partitions, every threshold is zero,
+pairs that share a partition's value are verified by their distance, and the number of partitions follows from the
+wanted recall. The pairs met grow as n ** 1.24, not as the square.
+
 Defined results: null or empty texts have fingerprint zero and are linked like any other; a text of one or two words is
 one shingle; rows with the same doc_id are separate rows with one component; a null doc_id never names a component
 unless the whole component has none (then null). Other columns of the input are ignored, so they may have any name.
@@ -241,19 +246,114 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     return marks.join(classify(marks, radius), "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def bands_for(n: int, similarity: float, recall: float) -> tuple[int, int, int]:
+    """Bits of a band, number of bands and 64-bit words of a fingerprint for n documents.
+
+    A band of log2(n) bits is shared by about one unrelated document; two documents of the similarity share one with
+    probability (1 - p) ** bits, and enough bands are taken that `recall` of such pairs share some band; at least 16 words
+    are used, so that distances tell similarities.
+    """
+    p = bit_difference(similarity)
+    width = max(8, math.ceil(math.log2(n + 1)))
+    bands = math.ceil(math.log(1 - recall) / math.log1p(-((1 - p) ** width)))
+    return width, bands, max(16, -(-width * bands // BITS))
+
+
+def bit_difference(similarity: float) -> float:
+    """The share of SimHash bits in which two shingle sets of this Jaccard similarity and of equal size differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def long_fingerprint(text: str | None, width: int, size: int) -> np.ndarray:
+    """A SimHash of `size` 64-bit words over the distinct shingles of `width` words; zero without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(size, dtype="<u8")
+    joined = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
+    hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, joined), dtype="<u8", count=len(joined)))
+    seeds = np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones, step = np.zeros(size * BITS, dtype=np.int64), max(1, 4_000_000 // (size * BITS))
+    for at in range(0, len(hashes), step):
+        v = hashes[at : at + step, None] + seeds[None, :]
+        v = (v ^ v >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        v = (v ^ v >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        v = np.ascontiguousarray(v ^ v >> np.uint64(31))
+        ones += np.unpackbits(v.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")
+
+
+def similar_links(distinct: DataFrame, most: int, bucket_limit: int = 32) -> DataFrame:
+    """Edges (u, v), u < v, between nodes that share a band and differ in at most `most` bits.
+
+    distinct: node, words (array), bands (array). Members of a bucket up to the limit meet each other; in a larger
+    one each meets the bucket's least and greatest node, so a group of copies emits no square of its size; every band
+    gives such a group other buckets, and components join what they link.
+    """
+    keyed = distinct.select("node", F.posexplode("bands").alias("band", "value"))
+    sizes = keyed.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("size > 1")
+    met = keyed.join(sizes, ["band", "value"])
+    few = met.where(F.col("size") <= bucket_limit).groupBy("band", "value").agg(F.sort_array(F.collect_list("node")).alias("m"))
+    inside = few.select(F.explode("m").alias("u"), "m").select("u", F.explode("m").alias("v")).where("u < v")
+    many = met.where(F.col("size") > bucket_limit).select("node", F.explode(F.array("low", "high")).alias("pivot")).where("node <> pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))
+    pairs = inside.union(many).distinct()
+    left = distinct.select(F.col("node").alias("u"), F.col("words").alias("a"))
+    right = distinct.select(F.col("node").alias("v"), F.col("words").alias("b"))
+    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = pairs.join(left, "u").join(right, "v").where(apart <= most)
+    return near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
+    """doc_id, __hash (of the text) and root of each row: rows of one root are near-duplicates.
+
+    Documents are linked by long fingerprints over distinct shingles of `width` words: they share a band and differ in no
+    more bits than sets of the similarity do. At least `recall` of the pairs of just that similarity share a band, and
+    nearly all closer ones.
+    """
+    spark = docs.sparkSession
+    checkpoint_dir(spark)
+    small_arrow_batches(spark)
+    n = docs.count()
+    bits, bands, size = bands_for(n, similarity, recall)
+    narrow = docs.select("doc_id", F.xxhash64("text").alias("__hash"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = 1 << np.arange(bits, dtype=np.int64)
+        for b in batches:
+            longs = [long_fingerprint(t, width, size) for t in b.column("text").to_pylist()]
+            nodes = [xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in longs]
+            cut = [(np.unpackbits(x.view(np.uint8), bitorder="little")[: bits * bands].reshape(bands, bits) @ powers).tolist() for x in longs]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__hash"), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array([x.view("<i8").tolist() for x in longs], pa.list_(pa.int64())), pa.array(cut, pa.list_(pa.int64()))], names=["doc_id", "__hash", "node", "words", "bands"])
+
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+    marks = narrow.mapInArrow(run, f"doc_id {kind}, __hash long, node long, words array<long>, bands array<long>").checkpoint()
+    distinct = marks.dropDuplicates(["node"]).select("node", "words", "bands")
+    found = components(similar_links(distinct, int(size * BITS * bit_difference(similarity)))).withColumnRenamed("node", "__node")
+    return marks.join(found, F.col("node") == F.col("__node"), "left").select("doc_id", "__hash", F.coalesce("root", "node").alias("root"))
+
+
+def keep_one_of_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """As keep_representatives, of groups linked by `similar_classes`."""
+    return keep_first(docs, similar_classes(docs, width, similarity).checkpoint())
+
+
 def keep_representatives(docs: DataFrame, radius: int = 2) -> DataFrame:
     """The rows of docs without near-duplicates of a kept one: of each component the row of smallest doc_id.
 
     Of rows that repeat a doc_id in one component one stays (the smallest text hash). Rows without doc_id go where their
     component has a row with one, else the smallest text hash stays. All columns pass.
     """
-    spark = docs.sparkSession
-    checkpoint_dir(spark)
+    checkpoint_dir(docs.sparkSession)
     marked = docs.select("doc_id", "text", F.xxhash64("text").alias("__hash"))
     marks = fingerprints(marked, keys=("doc_id", "__hash")).checkpoint()
+    return keep_first(docs, marks.join(classify(marks, radius), "fingerprint").select("doc_id", "__hash", "root"))
+
+
+def keep_first(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The first row of docs of each root; rooted: doc_id, __hash and root of each row."""
     ordered = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__hash")
-    best = marks.join(classify(marks, radius), "fingerprint").groupBy("root").agg(F.min(ordered).alias("b"))
-    rows = marks.groupBy("doc_id", "__hash").agg(F.count("*").alias("__rows"))
+    best = rooted.groupBy("root").agg(F.min(ordered).alias("b"))
+    rows = rooted.groupBy("doc_id", "__hash").agg(F.count("*").alias("__rows"))
     keep = best.select(F.col("b.doc_id").alias("__id"), F.col("b.__hash").alias("__h")).join(rows, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash"))).select("__id", "__h", "__rows").checkpoint()
     kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")))
     columns = docs.columns

@@ -107,3 +107,50 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
     assert simhash.keep_representatives(docs).count() == 0
+
+
+def test_similar_documents_by_brute_force(spark):
+    random.seed(12)
+    word = lambda: "".join(random.choices("abcdefgh", k=4))
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(random.randint(30, 300))]
+        texts.append(base)
+        for _ in range(random.randint(0, 3)):
+            edited = list(base)
+            for _ in range(len(base) // random.choice([50, 60, 90, 150])):
+                edited[random.randrange(len(base))] = word()
+            texts.append(edited)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    docs = spark.createDataFrame([(i, " ".join(t).upper() if i % 2 else "  ".join(t), "x") for i, t in enumerate(texts)], "doc_id long, text string, root string")
+    root = {r["doc_id"]: r["root"] for r in simhash.similar_classes(docs).collect()}
+    for a in range(len(texts)):
+        for b in range(a):
+            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            if j >= 0.85:
+                assert root[a] == root[b], j
+            if j < 0.3:
+                assert root[a] != root[b], j
+    kept = simhash.keep_one_of_similar(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {min(i for i in root if root[i] == x) for x in root.values()}
+
+
+def test_large_groups_of_similar_documents(spark):
+    random.seed(13)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(150):
+        t = list(base)
+        t[random.randrange(200)] = f"own{i}"
+        rows.append((i + 1, " ".join(t)))
+    rows += [(1000 + i, " ".join(f"u{i}x{k}" for k in range(40))) for i in range(20)] + [(2000, None), (2001, ""), (None, " ".join(base)), (2002, "a b"), (2002, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] or -1 for r in simhash.keep_one_of_similar(docs).collect()) == sorted([1, *range(1000, 1020), 2000, 2002])
+    assert simhash.keep_one_of_similar(docs.limit(0)).count() == 0
+
+
+def test_bands_reach_the_recall():
+    for n in (10, 1_000_000, 10**11):
+        width, bands, size = simhash.bands_for(n, 0.8, 0.95)
+        p = simhash.bit_difference(0.8)
+        assert width * bands <= size * 64 and 1 - (1 - (1 - p) ** width) ** bands >= 0.95
