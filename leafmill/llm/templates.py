@@ -55,7 +55,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = 3, leading: int = 3, simila
     each_token = cut.select("leaf", "lh", "n", F.size("cut").alias("size"), F.posexplode("cut").alias("at", "token"))
     constants = each_token.groupBy("leaf", "at", "token").agg(F.sum("n").alias("held")).where(F.col("held") >= min_docs).select("leaf", "at", "token")
     fixed = each_token.join(constants, ["leaf", "at", "token"]).groupBy("leaf", "lh", "size").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("kept"))
-    lines = fixed.where(F.size("kept") >= similarity * F.col("size")).select("lh", F.xxhash64("leaf", F.col("kept")).alias("template"))
+    lines = fixed.where(F.size("kept") >= similarity * F.col("size")).select("lh", F.xxhash64("leaf", F.col("kept")).alias("template")).checkpoint()
     holders = each.select(ID, HASH, F.xxhash64("line").alias("lh")).join(lines, "lh").select("template", ID, HASH).distinct()
     order = F.struct(F.col(ID).isNull().alias("unnamed"), F.col(ID), F.col(HASH))
     recurring = holders.groupBy("template").agg(F.count("*").alias("docs"), F.min(order).alias("first")).where(F.col("docs") >= min_docs)
