@@ -289,12 +289,15 @@ def similar_links(distinct: DataFrame, most: int, bucket_limit: int = 32) -> Dat
     one each meets the bucket's least and greatest node, so a group of copies emits no square of its size; every band
     gives such a group other buckets, and components join what they link.
     """
-    keyed = distinct.select("node", F.posexplode("bands").alias("band", "value"))
-    sizes = keyed.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("size > 1")
-    met = keyed.join(sizes, ["band", "value"])
-    few = met.where(F.col("size") <= bucket_limit).groupBy("band", "value").agg(F.sort_array(F.collect_list("node")).alias("m"))
+    packed = F.transform("bands", lambda value, band: F.shiftleft(band.cast("long"), 40).bitwiseOR(value))
+    keyed = distinct.select("node", F.explode(packed).alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = keyed.join(sizes, "key")
+    few = met.where(F.col("size") <= bucket_limit).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
     inside = few.select(F.explode("m").alias("u"), "m").select("u", F.explode("m").alias("v")).where("u < v")
-    many = met.where(F.col("size") > bucket_limit).select("node", F.explode(F.array("low", "high")).alias("pivot")).where("node <> pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))
+    large = met.where(F.col("size") > bucket_limit)
+    pivots = large.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    many = large.join(pivots, "key").select("node", F.explode(F.array("low", "high")).alias("pivot")).where("node <> pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))
     pairs = inside.union(many).distinct()
     left = distinct.select(F.col("node").alias("u"), F.col("words").alias("a"))
     right = distinct.select(F.col("node").alias("v"), F.col("words").alias("b"))
