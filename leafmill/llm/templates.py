@@ -7,6 +7,13 @@ constants have one template. A template recurs if `min_docs` documents hold it a
 of its tokens. Lines of recurring templates are dropped from every document but the first (the smallest doc_id) of the
 template, so that a text that exists in many copies isn't lost with its copies; `keep_first=False` drops there too.
 
+That rule (the query's, and its SQL's) counts constants by an absolute number, so in a leaf of many documents the values of
+a variable field become constants and its template falls apart into whole lines. With `share`, constants are relative to
+the line: of the tokens above only those count that `share` of the documents hold which hold its `similarity`-th most
+frequent token. Lines whose template does not recur then join the recurring template of their leaf with which they share
+most tokens, if these are `similarity` of theirs. At most b mismatches leave one of b + 1 groups of positions without one, so lines and
+templates meet by the hashes of these groups, and every pair that is similar enough does.
+
 Statistics are taken of distinct lines with their counts, all combined before they are shuffled, so a line in a third of
 all documents is one row; only hashes of lines travel, except for lines in leaves that recur. The hashes of these leaves
 are broadcast if they are at most `broadcast_leaves`, which is counted first; if more, lines are shuffled to meet them. Documents are shuffled
@@ -40,7 +47,7 @@ def leaf(cut: Column, leading: int) -> Column:
     return F.xxhash64(F.size(cut), masked)
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = 3, leading: int = 3, similarity: float = 0.7, min_tokens: int = 3, broadcast_leaves: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def recurring_lines(docs: DataFrame, min_docs: int = 3, leading: int = 3, similarity: float = 0.7, min_tokens: int = 3, broadcast_leaves: int = 1_000_000, share: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(line, template) by hashes for lines whose template may recur, and (template, docs, first document) of those that do."""
     checkpoint_dir(docs.sparkSession)
     held = docs.select(F.col("doc_id").alias(ID), F.xxhash64("text").alias(HASH), "text").where("text is not null")
@@ -55,16 +62,47 @@ def recurring_lines(docs: DataFrame, min_docs: int = 3, leading: int = 3, simila
     each_token = cut.select("leaf", "lh", "n", F.size("cut").alias("size"), F.posexplode("cut").alias("at", "token"))
     constants = each_token.groupBy("leaf", "at", "token").agg(F.sum("n").alias("held")).where(F.col("held") >= min_docs).select("leaf", "at", "token")
     fixed = each_token.join(constants, ["leaf", "at", "token"]).groupBy("leaf", "lh", "size").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("kept"))
-    lines = fixed.where(F.size("kept") >= similarity * F.col("size")).select("lh", F.xxhash64("leaf", F.col("kept")).alias("template")).checkpoint()
+    lines = fixed.where(F.size("kept") >= similarity * F.col("size")).select("lh", F.xxhash64("leaf", F.col("kept")).alias("template"))
+    lines = (lines if share is None else relative_lines(cut, each_token, min_docs, leading, similarity, share)).checkpoint()
     holders = each.select(ID, HASH, F.xxhash64("line").alias("lh")).join(lines, "lh").select("template", ID, HASH).distinct()
     order = F.struct(F.col(ID).isNull().alias("unnamed"), F.col(ID), F.col(HASH))
     recurring = holders.groupBy("template").agg(F.count("*").alias("docs"), F.min(order).alias("first")).where(F.col("docs") >= min_docs)
     return lines, recurring
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 3, leading: int = 3, similarity: float = 0.7, min_tokens: int = 3, keep_first: bool = True) -> DataFrame:
+def groups_of(cut: Column, size: Column, leading: int, similarity: float) -> Column:
+    """(number, hash) of each group of positions behind the leading ones; null hashes where a token is null."""
+    groups = (size - F.ceil(similarity * size - 1e-9) + 1).cast("int")
+    at_rest = F.sequence(F.lit(0), groups - 1)
+    chosen = lambda g: F.filter(F.transform(cut, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda x: (x["i"] >= leading) & (x["i"] % groups == g))
+    return F.transform(at_rest, lambda g: F.struct(g.alias("g"), F.when(~F.exists(chosen(g), lambda x: x["t"].isNull()), F.xxhash64(chosen(g))).alias("h")))
+
+
+def relative_lines(cut: DataFrame, each_token: DataFrame, min_docs: int, leading: int, similarity: float, share: float) -> DataFrame:
+    """(lh, template) of lines whose template may recur, by constants relative to the line; others join a similar one."""
+    held = each_token.groupBy("leaf", "at", "token").agg(F.sum("n").alias("held")).where(F.col("held") >= min_docs)
+    most = F.sort_array(F.collect_list(F.struct("held", "at", "token")), asc=False)
+    fixed = each_token.join(held, ["leaf", "at", "token"]).groupBy("leaf", "lh", "size", "n").agg(most.alias("most"))
+    wanted = F.ceil(similarity * F.col("size") - 1e-9).cast("int")
+    fixed = fixed.where(F.size("most") >= wanted).withColumn("least", share * F.element_at("most", wanted)["held"])
+    kept = F.sort_array(F.transform(F.filter("most", lambda x: x["held"] >= F.col("least")), lambda x: F.struct(x["at"].alias("at"), x["token"].alias("token"))))
+    own = fixed.select("leaf", "lh", "size", "n", kept.alias("kept")).withColumn("template", F.xxhash64("leaf", "kept")).checkpoint()
+    found = own.groupBy("template").agg(F.sum("n").alias("held"), F.first("leaf").alias("leaf"), F.first("size").alias("size"), F.first("kept").alias("kept")).where(F.col("held") >= min_docs)
+    pattern = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.element_at(F.map_from_entries("kept"), i))
+    patterns = found.select("template", "leaf", "size", pattern.alias("pattern"))
+    here = own.join(found.select("template"), "template", "left_semi").select("lh", "template")
+    keyed = patterns.select("template", "leaf", "pattern", F.explode(groups_of(F.col("pattern"), F.col("size"), leading, similarity)).alias("k")).where("k.h is not null")
+    rest = cut.join(here, "lh", "left_anti").join(found.select("leaf").distinct(), "leaf", "left_semi")
+    lines = rest.select("lh", "leaf", "cut", F.explode(groups_of(F.col("cut"), F.size("cut"), leading, similarity)).alias("k"))
+    alike = F.size(F.filter(F.zip_with("cut", "pattern", lambda a, b: a == b), lambda x: x))
+    met = lines.join(keyed, ["leaf", "k"]).select("lh", "template", F.size("cut").alias("size"), alike.alias("alike")).where(F.col("alike") >= similarity * F.col("size") - 1e-9)
+    joined = met.groupBy("lh").agg(F.max(F.struct("alike", "template"))["template"].alias("template"))
+    return here.union(joined)
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = 3, leading: int = 3, similarity: float = 0.7, min_tokens: int = 3, keep_first: bool = True, share: float | None = None) -> DataFrame:
     """docs with the lines of recurring templates taken out of `text`, and n_lines and n_dropped as __lt_lines, __lt_dropped."""
-    lines, recurring = recurring_lines(docs, min_docs, leading, similarity, min_tokens)
+    lines, recurring = recurring_lines(docs, min_docs, leading, similarity, min_tokens, share=share)
     hits = lines.join(recurring.select("template", "first"), "template").select("lh", "first")
     held = docs.select(F.col("doc_id").alias(ID), F.xxhash64("text").alias(HASH), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
     marked = held.select(ID, HASH, F.xxhash64("line").alias("lh")).join(hits, "lh")

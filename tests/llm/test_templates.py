@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from leafmill.llm import templates
 
 
@@ -85,3 +87,19 @@ def test_odd_rows(spark):
     got = sorted((r["leaf"], r["line"], r["text"] if r["text"] is None else r["text"][:20]) for r in out.collect())
     assert got == [("a", 1, None), ("b", 2, ""), ("c", 3, same), ("c", 3, same), ("d", 4, ""), ("e", 5, ("long " * 4)), ("f", 6, "")]
     assert templates.dedup_lines(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [100, 20_000])
+def test_variable_fields_stay_wildcards_at_every_size(spark, n):
+    random.seed(n)
+    rows = [(i, f"Downloaded from the public archive mirror at {random.randrange(1000)} by user{random.randrange(1000)}\nown text {i}") for i in range(n)]
+    left = templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), share=0.5)
+    assert left.where("text like 'Downloaded%'").select("doc_id").collect() == [(0,)]
+    assert left.where("text not like '%own text%'").count() == 0
+
+
+def test_lines_join_a_recurring_line_they_differ_from_in_a_field(spark):
+    same = "Copyright of this page is held by its own authors".split(" ")
+    rows = [(i, " ".join(same)) for i in range(50)] + [(100 + k, " ".join([*same[:k], "other", *same[k + 1 :]])) for k in range(3, 10)] + [(200, "Copyright of this thing was kept for the many heirs")]
+    left = templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), share=0.5)
+    assert {r["doc_id"] for r in left.where("text <> ''").collect()} == {0, 200}
