@@ -23,7 +23,7 @@ unless the whole component has none (then null). Other columns of the input are
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -36,6 +36,7 @@ from leafmill.session import checkpoint_dir, small_arrow_batches
 
 BITS = 64
 SEED = 42
+SHORT = 64  # shingles
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -264,13 +265,17 @@ def bit_difference(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def long_fingerprint(text: str | None, width: int, size: int) -> np.ndarray:
-    """A SimHash of `size` 64-bit words over the distinct shingles of `width` words; zero without words."""
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of `width` words; a shorter text is one shingle; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(size, dtype="<u8")
+        return np.zeros(0, dtype="<u8")
     joined = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
-    hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, joined), dtype="<u8", count=len(joined)))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, joined), dtype="<u8", count=len(joined)))
+
+
+def long_fingerprint(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A SimHash of `size` 64-bit words over a shingle set; zero if it is empty."""
     seeds = np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     ones, step = np.zeros(size * BITS, dtype=np.int64), max(1, 4_000_000 // (size * BITS))
     for at in range(0, len(hashes), step):
@@ -282,15 +287,38 @@ def long_fingerprint(text: str | None, width: int, size: int) -> np.ndarray:
     return np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")
 
 
-def similar_links(distinct: DataFrame, most: int, bucket_limit: int = 32) -> DataFrame:
-    """Edges (u, v), u < v, between nodes that share a band and differ in at most `most` bits.
+def meeting_keys(hashes: np.ndarray, words: np.ndarray, bits: int, bands: int, similarity: float) -> list[int]:
+    """The keys under which a shingle set meets similar ones, as signed longs.
+
+    Bands of the fingerprint for sets over SHORT; below that bits depend too much on parity. Sets up to SHORT / similarity
+    have the least hashes instead, so many that two similar sets share one of them for certain (prefix filter).
+    """
+    keys, n = [], len(hashes)
+    if n > SHORT:
+        values = np.unpackbits(words.view(np.uint8), bitorder="little")[: bits * bands].reshape(bands, bits) @ (1 << np.arange(bits, dtype=np.int64))
+        keys += (np.arange(bands, dtype=np.int64) << 40 | values).tolist()
+    if 0 < n <= SHORT / similarity:
+        keys += hashes[: n - math.ceil(similarity * n - 1e-9) + 1].view("<i8").tolist()
+    return keys
+
+
+def most_bits(n: int, total: int, similarity: float) -> int:
+    """In how many of `total` bits a set of n shingles may differ from a set similar enough.
+
+    The expected share at the similarity and four standard deviations; small sets: that of four shingles in five, the most
+    that any have at 0.8, and five.
+    """
+    p, deviations = (max(bit_difference(similarity), 0.1875), 5) if n <= SHORT / similarity else (bit_difference(similarity), 4)
+    return int(total * p + deviations * math.sqrt(total * p * (1 - p)))
+
+
+def similar_links(distinct: DataFrame, exact: Callable[[DataFrame], DataFrame], bucket_limit: int = 32) -> DataFrame:
+    """Edges (u, v), u < v, between nodes that share a key, pass the distance gate and are linked by `exact`.
 
-    distinct: node, words (array), bands (array). Members of a bucket up to the limit meet each other; in a larger
-    one each meets the bucket's least and greatest node, so a group of copies emits no square of its size; every band
-    gives such a group other buckets, and components join what they link.
+    distinct: node, words (array), keys (array) and most, the bits in which linked nodes may differ. Members of a bucket
+    up to the limit meet each other. In a larger one each meets the bucket's least and greatest node only.
     """
-    packed = F.transform("bands", lambda value, band: F.shiftleft(band.cast("long"), 40).bitwiseOR(value))
-    keyed = distinct.select("node", F.explode(packed).alias("key"))
+    keyed = distinct.select("node", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = keyed.join(sizes, "key")
     few = met.where(F.col("size") <= bucket_limit).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
@@ -299,19 +327,19 @@ def similar_links(distinct: DataFrame, most: int, bucket_limit: int = 32) -> Dat
     pivots = large.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     many = large.join(pivots, "key").select("node", F.explode(F.array("low", "high")).alias("pivot")).where("node <> pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))
     pairs = inside.union(many).distinct()
-    left = distinct.select(F.col("node").alias("u"), F.col("words").alias("a"))
-    right = distinct.select(F.col("node").alias("v"), F.col("words").alias("b"))
+    left = distinct.select(F.col("node").alias("u"), F.col("words").alias("a"), F.col("most").alias("p"))
+    right = distinct.select(F.col("node").alias("v"), F.col("words").alias("b"), F.col("most").alias("q"))
     apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(left, "u").join(right, "v").where(apart <= most)
-    return near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    near = exact(pairs.join(left, "u").join(right, "v").where(apart <= F.least("p", "q")).select("u", "v")).checkpoint()
+    return near
 
 
 def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
     """doc_id, __hash (of the text) and root of each row: rows of one root are near-duplicates.
 
-    Documents are linked by long fingerprints over distinct shingles of `width` words: they share a band and differ in no
-    more bits than sets of the similarity do. At least `recall` of the pairs of just that similarity share a band, and
-    nearly all closer ones.
+    Documents are linked if the Jaccard similarity of their distinct shingles of `width` words is at least `similarity`,
+    which is verified on the sets. Candidates share a band (at least about `recall` of the pairs of just that similarity,
+    nearly all closer ones) or, short texts, one of their least shingles (all pairs).
     """
     spark = docs.sparkSession
     checkpoint_dir(spark)
@@ -321,20 +349,44 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, re
     narrow = docs.select("doc_id", F.xxhash64("text").alias("__hash"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = 1 << np.arange(bits, dtype=np.int64)
         for b in batches:
-            longs = [long_fingerprint(t, width, size) for t in b.column("text").to_pylist()]
-            nodes = [xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in longs]
-            cut = [(np.unpackbits(x.view(np.uint8), bitorder="little")[: bits * bands].reshape(bands, bits) @ powers).tolist() for x in longs]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__hash"), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array([x.view("<i8").tolist() for x in longs], pa.list_(pa.int64())), pa.array(cut, pa.list_(pa.int64()))], names=["doc_id", "__hash", "node", "words", "bands"])
+            nodes, longs, keys, most = [], [], [], []
+            for t in b.column("text").to_pylist():
+                hashes = shingle_set(t, width)
+                words = long_fingerprint(hashes, size)
+                nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+                longs.append(words.view("<i8").tolist())
+                keys.append(meeting_keys(hashes, words, bits, bands, similarity))
+                most.append(most_bits(len(hashes), size * BITS, similarity))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__hash"), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(longs, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(most, pa.int32())], names=["doc_id", "__hash", "node", "words", "keys", "most"])
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    marks = narrow.mapInArrow(run, f"doc_id {kind}, __hash long, node long, words array<long>, bands array<long>").checkpoint()
-    distinct = marks.dropDuplicates(["node"]).select("node", "words", "bands")
-    found = components(similar_links(distinct, int(size * BITS * bit_difference(similarity)))).withColumnRenamed("node", "__node")
+    marks = narrow.mapInArrow(run, f"doc_id {kind}, __hash long, node long, words array<long>, keys array<long>, most int").checkpoint()
+    distinct = marks.dropDuplicates(["node"]).select("node", "words", "keys", "most")
+    found = components(similar_links(distinct, lambda pairs: verified(pairs, docs, marks, width, similarity))).withColumnRenamed("node", "__node")
     return marks.join(found, F.col("node") == F.col("__node"), "left").select("doc_id", "__hash", F.coalesce("root", "node").alias("root"))
 
 
+def verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame, width: int, similarity: float, broadcast_nodes: int = 1_000_000) -> DataFrame:
+    """The pairs (u, v) whose shingle sets are similar, by the sets themselves; only texts of candidates are read for it."""
+    pairs = pairs.checkpoint()
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = marks.select("node", "__hash").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("__hash").alias("__hash")).checkpoint()
+    if wanted.count() <= broadcast_nodes:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.xxhash64("text").alias("__hash"), "text").join(wanted, "__hash").select("node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t, width).view("<i8") for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    sets = texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]).checkpoint()
+    both = pairs.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
 def keep_one_of_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """As keep_representatives, of groups linked by `similar_classes`."""
     return keep_first(docs, similar_classes(docs, width, similarity).checkpoint())

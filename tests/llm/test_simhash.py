@@ -154,3 +154,21 @@ def test_bands_reach_the_recall():
         width, bands, size = simhash.bands_for(n, 0.8, 0.95)
         p = simhash.bit_difference(0.8)
         assert width * bands <= size * 64 and 1 - (1 - (1 - p) ** width) ** bands >= 0.95
+
+
+def linked(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r["root"] for r in simhash.similar_classes(docs).collect()}
+
+
+def test_similarity_is_verified_from_just_0_8(spark):
+    words = lambda i, n: [f"d{i}x{k}" for k in range(n)]
+    edited = lambda t, n: [*t[: len(t) - n], *(w + "y" for w in t[len(t) - n :])]
+    kinds = [(8, 9, 0), (304, 304, 33), (304, 304, 30), (304, 304, 34), (304, 304, 40), (44, 44, 4), (44, 44, 5)]
+    for a, b, n in kinds:  # words of both texts, and of the second how many are changed at the end
+        pairs = [(words(i, a), edited(words(i, b), n)) for i in range(60)]
+        root = linked(spark, [" ".join(t) for pair in pairs for t in pair])
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in pairs[0])
+        share = sum(root[2 * i] == root[2 * i + 1] for i in range(60)) / 60
+        j = len(x & y) / len(x | y)
+        assert share == 0 if j < 0.8 else share == 1 if len(x) <= 64 else share >= 0.85, (a, b, n, j)
