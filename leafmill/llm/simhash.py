@@ -312,18 +312,70 @@ def most_bits(n: int, total: int, similarity: float) -> int:
     return int(total * p + deviations * math.sqrt(total * p * (1 - p)))
 
 
-def similar_links(distinct: DataFrame, exact: Callable[[DataFrame], DataFrame], bucket_limit: int = 32) -> DataFrame:
+def bucket_pairs(words: np.ndarray, most: np.ndarray, label: np.ndarray, side: np.ndarray, sure: int, pivots: int = 64) -> list[tuple[int, int]]:
+    """Pairs of rows within the lesser `most` of the two; rows of one label are linked and only pairs of two labels count.
+
+    Members within `sure` bits of a pivot join it by one pair and take its label, so that a dense group gives no square. If
+    `side` has two values, only pairs across them count.
+    """
+    label, out = np.unique(label, return_inverse=True)[1], []
+    labels = int(label.max(initial=-1)) + 1
+    free = np.ones(len(words), dtype=bool)
+    for _ in range(pivots):
+        if not free.any():
+            break
+        at = int(np.argmax(free))
+        near = np.bitwise_count(words ^ words[at]).sum(axis=1, dtype=np.int64) <= sure
+        free &= ~near & (label != label[at])
+        first = np.unique(label[near], return_index=True)[1]
+        for j in np.nonzero(near)[0][first].tolist():  # one pair for each label met
+            if label[j] != label[at]:
+                out.append((at, j))
+        label = np.where(np.isin(label, label[near]), labels, label)
+        labels += 1
+    order = np.argsort(label, kind="stable")
+    words, most, label, side = words[order], most[order], label[order], side[order]
+    end = np.searchsorted(label, label, side="right")
+    across = len(np.unique(side)) > 1
+    for i in range(len(words)):
+        d = np.bitwise_count(words[end[i] :] ^ words[i]).sum(axis=1, dtype=np.int64)
+        hit = d <= np.minimum(most[end[i] :], most[i])
+        if across:
+            hit &= side[end[i] :] != side[i]
+        out.extend((int(order[i]), int(order[j])) for j in np.nonzero(hit)[0] + end[i])
+    return out
+
+
+def pairs_in_large(large: DataFrame, sure: int, block: int = 16_384) -> DataFrame:
+    """(u, v) of the members of large buckets: key, size, node, words, most and label. All meet, block by block."""
+    blocks = F.ceil(F.col("size") / block).cast("long")
+    dealt = large.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).select("key", "low", "high", "own", "node", "words", "most", "label")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node").combine_chunks()
+        node = t.column("node").to_numpy()
+        words = t.column("words").combine_chunks().flatten().to_numpy(zero_copy_only=False).view("<u8").reshape(len(node), -1)
+        found = bucket_pairs(words, t.column("most").to_numpy(), t.column("label").to_numpy(), t.column("own").to_numpy(), sure)
+        x = node[np.array(found, dtype=np.int64).reshape(-1, 2)]
+        return pa.table({"u": pa.array(x.min(axis=1), pa.int64()), "v": pa.array(x.max(axis=1), pa.int64())})
+
+    return dealt.groupBy("key", "low", "high").applyInArrow(run, "u long, v long").distinct()
+
+
+def similar_links(distinct: DataFrame, exact: Callable[[DataFrame], DataFrame], sure: int, bucket_limit: int = 32) -> DataFrame:
     """Edges (u, v), u < v, between nodes that share a key, pass the distance gate and are linked by `exact`.
 
     distinct: node, words (array), keys (array) and most, the bits in which linked nodes may differ. Members of a bucket
-    up to the limit meet each other. In a larger one each meets the bucket's least and greatest node only.
+    up to the limit meet each other. In a larger one each first meets the bucket's least and greatest node, which links
+    dense groups without their square; then all members of different classes are compared, block by block.
     """
     keyed = distinct.select("node", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = keyed.join(sizes, "key")
     few = met.where(F.col("size") <= bucket_limit).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
     inside = few.select(F.explode("m").alias("u"), "m").select("u", F.explode("m").alias("v")).where("u < v")
-    large = met.where(F.col("size") > bucket_limit)
+    large = met.where(F.col("size") > bucket_limit).checkpoint()
     pivots = large.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     many = large.join(pivots, "key").select("node", F.explode(F.array("low", "high")).alias("pivot")).where("node <> pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))
     pairs = inside.union(many).distinct()
@@ -331,7 +383,11 @@ def similar_links(distinct: DataFrame, exact: Callable[[DataFrame], DataFrame],
     right = distinct.select(F.col("node").alias("v"), F.col("words").alias("b"), F.col("most").alias("q"))
     apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = exact(pairs.join(left, "u").join(right, "v").where(apart <= F.least("p", "q")).select("u", "v")).checkpoint()
-    return near
+    if large.limit(1).count() == 0:
+        return near
+    classes = components(near).withColumnRenamed("node", "__node")
+    members = large.join(distinct.select("node", "words", "most"), "node").join(classes, F.col("node") == F.col("__node"), "left").withColumn("label", F.coalesce("root", "node"))
+    return near.union(exact(pairs_in_large(members, sure)).checkpoint()).distinct()
 
 
 def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
@@ -363,7 +419,8 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, re
     kind = narrow.schema["doc_id"].dataType.simpleString()
     marks = narrow.mapInArrow(run, f"doc_id {kind}, __hash long, node long, words array<long>, keys array<long>, most int").checkpoint()
     distinct = marks.dropDuplicates(["node"]).select("node", "words", "keys", "most")
-    found = components(similar_links(distinct, lambda pairs: verified(pairs, docs, marks, width, similarity))).withColumnRenamed("node", "__node")
+    sure = int(size * BITS * bit_difference(similarity) - 4 * math.sqrt(size * BITS * bit_difference(similarity)))
+    found = components(similar_links(distinct, lambda pairs: verified(pairs, docs, marks, width, similarity), sure)).withColumnRenamed("node", "__node")
     return marks.join(found, F.col("node") == F.col("__node"), "left").select("doc_id", "__hash", F.coalesce("root", "node").alias("root"))
 
 

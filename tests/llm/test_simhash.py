@@ -161,6 +161,18 @@ def linked(spark, texts):
     return {r["doc_id"]: r["root"] for r in simhash.similar_classes(docs).collect()}
 
 
+def test_near_pairs_inside_a_hot_group_of_dissimilar_documents(spark):
+    random.seed(14)
+    passage = [f"p{i}" for i in range(150)]
+    texts = [" ".join([*passage, *(f"d{i}x{k}" for k in range(50))]) for i in range(1500)]
+    near = [t.split(" ") for t in texts[:100]]
+    for t in near:
+        t[-10:] = [w + "y" for w in t[-10:]]  # 186 of 206 shingles are shared
+    root = linked(spark, [*texts, *map(" ".join, near)])
+    assert sum(root[i] == root[1500 + i] for i in range(100)) >= 99
+    assert len(set(root.values())) == 1600 - sum(root[i] == root[1500 + i] for i in range(100))
+
+
 def test_similarity_is_verified_from_just_0_8(spark):
     words = lambda i, n: [f"d{i}x{k}" for k in range(n)]
     edited = lambda t, n: [*t[: len(t) - n], *(w + "y" for w in t[len(t) - n :])]
@@ -172,3 +184,14 @@ def test_similarity_is_verified_from_just_0_8(spark):
         share = sum(root[2 * i] == root[2 * i + 1] for i in range(60)) / 60
         j = len(x & y) / len(x | y)
         assert share == 0 if j < 0.8 else share == 1 if len(x) <= 64 else share >= 0.85, (a, b, n, j)
+
+
+def test_bucket_pairs_across_blocks_and_classes():
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 2**64, (40, 16), dtype=np.uint64)
+    words[20:] = words[:20] ^ (rng.random((20, 16)) < 0.5).astype(np.uint64)
+    most, one = np.full(40, 200), np.zeros(40, dtype=np.int64)
+    found = lambda label, side, sure: {tuple(sorted(p)) for p in simhash.bucket_pairs(words, most, label, side, sure)}
+    wanted = {(i, i + 20) for i in range(20)}
+    assert found(np.arange(40), one, -1) == found(np.arange(40), one, 100) == found(np.arange(40), np.arange(40) // 20, -1) == wanted
+    assert found(np.arange(40), np.arange(40) % 20, -1) == set() and found(np.arange(40) % 20, one, -1) == set()
