@@ -218,7 +218,10 @@ def sample(docs: DataFrame, label: str, per_label: int, max_words: int) -> list[
 
 
 def spliced(texts: list[tuple[str, list[str]]], languages: list[str], length: int, rng: np.random.Generator) -> list[tuple[list[str], list[int]]]:
-    """Training sequences: pieces of 4 to 40 words of the sample's texts, in random order, cut to equal lengths."""
+    """Training sequences: pieces of 4 to 40 words of the sample's texts, in random order, cut to equal lengths.
+
+    The last one ends with the last word, and so overlaps the one before; fewer words than the length are one sequence.
+    """
     number = {x: k for k, x in enumerate(languages)}
     parts = []
     for label, cut in texts:
@@ -229,7 +232,10 @@ def spliced(texts: list[tuple[str, list[str]]], languages: list[str], length: in
             at += n
     rng.shuffle(parts)
     flat = [(w, y) for cut, y in parts for w in cut]
-    return [([w for w, _ in flat[i : i + length]], [y for _, y in flat[i : i + length]]) for i in range(0, len(flat) - length + 1, length)]
+    begins = list(range(0, len(flat) - length + 1, length))
+    if len(flat) % length:
+        begins.append(max(0, len(flat) - length))
+    return [([w for w, _ in flat[i : i + length]], [y for _, y in flat[i : i + length]]) for i in begins]
 
 
 def fit(docs: DataFrame, label: str = "lang", per_language: int = 400, max_words: int = 300, epochs: int = 8, length: int = 48, seed: int = 7) -> Model:
@@ -328,9 +334,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keys: tuple[str,
     return narrow.mapInArrow(run, schema)
 
 
-def keep_known(docs: DataFrame, model: Model, least_score: float = 0.3) -> DataFrame:
-    """The rows of docs, with all columns, whose text has a language by a score of at least least_score.
+def keep_known(docs: DataFrame, model: Model, margin: float = 1 / 15) -> DataFrame:
+    """The rows of docs, with all columns, whose text has a language by a score well over that of a guess.
 
+    A guess among k languages scores 1 / k; the score must be over it by `margin` of what is left to 1 (0.3 of four languages).
     A model that has learned no language rejects only texts without a letter.
     """
     spark = docs.sparkSession
@@ -339,10 +346,12 @@ def keep_known(docs: DataFrame, model: Model, least_score: float = 0.3) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(sent.value)
+        guess = 1 / max(1, len(sent.value.languages))
+        least = guess + margin * (1 - guess) - 1e-9
         for b in batches:
             for at, texts in split_texts(b.column("text").to_pylist()):
                 found = labeller.documents(texts) if sent.value.languages else [("any", 1.0) if words(t) else (UNKNOWN, 0.0) for t in texts]
-                keep = [x != UNKNOWN and s >= least_score for x, s in found]
+                keep = [x != UNKNOWN and s >= least for x, s in found]
                 yield b.slice(at, len(texts)).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from leafmill.llm import langid
@@ -123,3 +124,21 @@ def test_nulls_and_empty(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, none).collect()} == {"und"}
     assert langid.keep_known(docs, none).count() == 4
     assert langid.predict(docs.limit(0), m).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 6])
+def test_rejection_follows_the_number_of_languages(spark, k):
+    m = langid.Model([f"l{i}" for i in range(k)], np.zeros((langid.BUCKETS, k), dtype=np.float32), np.zeros(k), np.zeros((k, k)), np.zeros(k))
+    docs = spark.createDataFrame([(1, "words of no known language"), (2, "1 2 3")], "doc_id long, text string")
+    assert langid.keep_known(docs, m).count() == (1 if k == 1 else 0)  # a mere guess; a sole language is no guess
+    m.bias[0] = 3.0
+    assert [r["doc_id"] for r in langid.keep_known(docs, m).collect()] == [1]
+
+
+def test_short_training_samples_are_learned(spark):
+    rows = [(1, "der hund und die katze", "de"), (2, "the dog and the cat", "en"), (3, "le chien et le chat", "fr"), (4, "el perro y el gato", "es")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.fit(docs)
+    assert langid.keep_known(docs, m).count() == 4 and {(r["doc_id"], r["lang_pred"]) for r in langid.predict(docs, m).collect()} == {(d, x) for d, _, x in rows}
+    cut = langid.spliced([("a", [f"w{i}" for i in range(100)])], ["a"], 48, np.random.default_rng(1))
+    assert {w for x, _ in cut for w in x} == {f"w{i}" for i in range(100)} and {len(x) for x, _ in cut} == {48}
