@@ -10,10 +10,14 @@ A bucket of over `bucket_limit` members emits no pairs. Its members are linked e
 fingerprints are within 2 bits if and only if the balls of radius 1 around them meet, so each member sends its 65 ball
 keys and everyone at a key is linked to the smallest member there. That needs radius 2; smaller radii verify the star.
 
-Two bits of 64 are far stricter than a similarity of 0.8. For that, `keep_one_of_similar` (the pipeline's stage) takes a
-longer SimHash of distinct five-word shingles: as its radius is below the number of partitions, every threshold is zero,
-pairs that share a partition's value are verified by their distance, and the number of partitions follows from the
-wanted recall. The pairs met grow as n ** 1.24, not as the square.
+Two bits of 64 are far stricter than a similarity of 0.8. For that, `keep_one_of_similar` (the pipeline's stage) uses
+another method, banding LSH, not the pigeonhole: a longer SimHash of distinct five-word shingles is cut into bands of
+consecutive bits which must match exactly, without correlated groups, thresholds or probes. A pigeonhole for its radius
+(155 of 1,024 bits at 100,000 documents) would need thresholds that sum to the radius less 48 bands plus 1, 108, so
+exact matches guarantee nothing; the number of bands follows from the wanted recall instead. Candidates are verified on
+the shingle sets, so no pair under the similarity is linked directly. The pairs met grow as n ** 1.24, not as the square,
+except in large buckets, whose members of different classes all meet; there members that differ in far fewer bits than the
+limit (four standard deviations) from a pivot meet the others through it.
 
 Defined results: null or empty texts have fingerprint zero and are linked like any other; a text of one or two words is
 one shingle; rows with the same doc_id are separate rows with one component; a null doc_id never names a component

@@ -58,6 +58,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = 3, leading: int = 3, simila
     if full.count() <= broadcast_leaves:
         full = F.broadcast(full)
     distinct = placed.join(full, "leaf", "left_semi").groupBy("leaf", "line").agg(F.count("*").alias("n"))
+    if share is not None:
+        distinct = distinct.checkpoint()  # read three times
     cut = distinct.select("leaf", F.xxhash64("line").alias("lh"), "n", tokens(F.col("line")).alias("cut"))
     each_token = cut.select("leaf", "lh", "n", F.size("cut").alias("size"), F.posexplode("cut").alias("at", "token"))
     constants = each_token.groupBy("leaf", "at", "token").agg(F.sum("n").alias("held")).where(F.col("held") >= min_docs).select("leaf", "at", "token")
