@@ -7,6 +7,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,14 +16,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; a temporary one only where the session names none, as in tests."""
+    """The shared folder for checkpoints; a temporary one only where the session names none and has no other machines."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not named and not local(spark):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="leafmill-"))
     return named or spark.sparkContext.getCheckpointDir()
 
 
+def local(spark: SparkSession) -> bool:
+    """If driver and executors are one process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def few(rows: DataFrame, most: int = 200_000) -> DataFrame:
+    """rows, to be broadcast if they are at most so many, which is counted; beyond that Spark shuffles them."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once a session; they need not have it on their path."""
     context = spark.sparkContext
