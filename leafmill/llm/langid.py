@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.session import small_arrow_batches
+from leafmill.session import few, small_arrow_batches
 
 WORD = regex.compile(r"\p{L}+")
 BUCKETS = 1 << 17
@@ -186,11 +186,6 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(True))
 
 
-def few(rows: DataFrame, most: int = 200_000) -> DataFrame:
-    """rows, to be broadcast if they are at most so many, which is counted; a sample has a bounded number for each label."""
-    return F.broadcast(rows) if rows.count() <= most else rows
-
-
 def sample(docs: DataFrame, label: str, per_label: int, max_words: int) -> list[tuple[str, list[str]]]:
     """At most per_label texts of each label, as (label, up to max_words words in a row), chosen by hash of doc_id.
 

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.langid import few, held_out, split_texts
-from leafmill.session import small_arrow_batches
+from leafmill.llm.langid import held_out, split_texts
+from leafmill.session import few, small_arrow_batches
 
 PASSAGE = 64
 WORDS = 512

@@ -10,14 +10,8 @@ A bucket of over `bucket_limit` members emits no pairs. Its members are linked e
 fingerprints are within 2 bits if and only if the balls of radius 1 around them meet, so each member sends its 65 ball
 keys and everyone at a key is linked to the smallest member there. That needs radius 2; smaller radii verify the star.
 
-Two bits of 64 are far stricter than a similarity of 0.8. For that, `keep_one_of_similar` (the pipeline's stage) uses
-another method, banding LSH, not the pigeonhole: a longer SimHash of distinct five-word shingles is cut into bands of
-consecutive bits which must match exactly, without correlated groups, thresholds or probes. A pigeonhole for its radius
-(155 of 1,024 bits at 100,000 documents) would need thresholds that sum to the radius less 48 bands plus 1, 108, so
-exact matches guarantee nothing; the number of bands follows from the wanted recall instead. Candidates are verified on
-the shingle sets, so no pair under the similarity is linked directly. The pairs met grow as n ** 1.24, not as the square,
-except in large buckets, whose members of different classes all meet; there members that differ in far fewer bits than the
-limit (four standard deviations) from a pivot meet the others through it.
+Two bits of 64 are far stricter than a similarity of 0.8; `similar` carries the method over to the sets of shingles, where
+that similarity has an exact radius. The pipeline's stage uses it.
 
 Defined results: null or empty texts have fingerprint zero and are linked like any other; a text of one or two words is
 one shingle; rows with the same doc_id are separate rows with one component; a null doc_id never names a component
@@ -27,7 +21,7 @@ unless the whole component has none (then null). Other columns of the input are
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -36,11 +30,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.session import checkpoint_dir, small_arrow_batches
+from leafmill.session import checkpoint_dir, few, small_arrow_batches
 
 BITS = 64
 SEED = 42
-SHORT = 64  # shingles
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -251,208 +244,6 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     return marks.join(classify(marks, radius), "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def bands_for(n: int, similarity: float, recall: float) -> tuple[int, int, int]:
-    """Bits of a band, number of bands and 64-bit words of a fingerprint for n documents.
-
-    A band of log2(n) bits is shared by about one unrelated document; two documents of the similarity share one with
-    probability (1 - p) ** bits, and enough bands are taken that `recall` of such pairs share some band; at least 16 words
-    are used, so that distances tell similarities.
-    """
-    p = bit_difference(similarity)
-    width = max(8, math.ceil(math.log2(n + 1)))
-    bands = math.ceil(math.log(1 - recall) / math.log1p(-((1 - p) ** width)))
-    return width, bands, max(16, -(-width * bands // BITS))
-
-
-def bit_difference(similarity: float) -> float:
-    """The share of SimHash bits in which two shingle sets of this Jaccard similarity and of equal size differ."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of `width` words; a shorter text is one shingle; none without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, dtype="<u8")
-    joined = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, joined), dtype="<u8", count=len(joined)))
-
-
-def long_fingerprint(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A SimHash of `size` 64-bit words over a shingle set; zero if it is empty."""
-    seeds = np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    ones, step = np.zeros(size * BITS, dtype=np.int64), max(1, 4_000_000 // (size * BITS))
-    for at in range(0, len(hashes), step):
-        v = hashes[at : at + step, None] + seeds[None, :]
-        v = (v ^ v >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        v = (v ^ v >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        v = np.ascontiguousarray(v ^ v >> np.uint64(31))
-        ones += np.unpackbits(v.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")
-
-
-def meeting_keys(hashes: np.ndarray, words: np.ndarray, bits: int, bands: int, similarity: float) -> list[int]:
-    """The keys under which a shingle set meets similar ones, as signed longs.
-
-    Bands of the fingerprint for sets over SHORT; below that bits depend too much on parity. Sets up to SHORT / similarity
-    have the least hashes instead, so many that two similar sets share one of them for certain (prefix filter).
-    """
-    keys, n = [], len(hashes)
-    if n > SHORT:
-        values = np.unpackbits(words.view(np.uint8), bitorder="little")[: bits * bands].reshape(bands, bits) @ (1 << np.arange(bits, dtype=np.int64))
-        keys += (np.arange(bands, dtype=np.int64) << 40 | values).tolist()
-    if 0 < n <= SHORT / similarity:
-        keys += hashes[: n - math.ceil(similarity * n - 1e-9) + 1].view("<i8").tolist()
-    return keys
-
-
-def most_bits(n: int, total: int, similarity: float) -> int:
-    """In how many of `total` bits a set of n shingles may differ from a set similar enough.
-
-    The expected share at the similarity and four standard deviations; small sets: that of four shingles in five, the most
-    that any have at 0.8, and five.
-    """
-    p, deviations = (max(bit_difference(similarity), 0.1875), 5) if n <= SHORT / similarity else (bit_difference(similarity), 4)
-    return int(total * p + deviations * math.sqrt(total * p * (1 - p)))
-
-
-def bucket_pairs(words: np.ndarray, most: np.ndarray, label: np.ndarray, side: np.ndarray, sure: int, pivots: int = 64) -> list[tuple[int, int]]:
-    """Pairs of rows within the lesser `most` of the two; rows of one label are linked and only pairs of two labels count.
-
-    Members within `sure` bits of a pivot join it by one pair and take its label, so that a dense group gives no square. If
-    `side` has two values, only pairs across them count.
-    """
-    label, out = np.unique(label, return_inverse=True)[1], []
-    labels = int(label.max(initial=-1)) + 1
-    free = np.ones(len(words), dtype=bool)
-    for _ in range(pivots):
-        if not free.any():
-            break
-        at = int(np.argmax(free))
-        near = np.bitwise_count(words ^ words[at]).sum(axis=1, dtype=np.int64) <= sure
-        free &= ~near & (label != label[at])
-        first = np.unique(label[near], return_index=True)[1]
-        for j in np.nonzero(near)[0][first].tolist():  # one pair for each label met
-            if label[j] != label[at]:
-                out.append((at, j))
-        label = np.where(np.isin(label, label[near]), labels, label)
-        labels += 1
-    order = np.argsort(label, kind="stable")
-    words, most, label, side = words[order], most[order], label[order], side[order]
-    end = np.searchsorted(label, label, side="right")
-    across = len(np.unique(side)) > 1
-    for i in range(len(words)):
-        d = np.bitwise_count(words[end[i] :] ^ words[i]).sum(axis=1, dtype=np.int64)
-        hit = d <= np.minimum(most[end[i] :], most[i])
-        if across:
-            hit &= side[end[i] :] != side[i]
-        out.extend((int(order[i]), int(order[j])) for j in np.nonzero(hit)[0] + end[i])
-    return out
-
-
-def pairs_in_large(large: DataFrame, sure: int, block: int = 16_384) -> DataFrame:
-    """(u, v) of the members of large buckets: key, size, node, words, most and label. All meet, block by block."""
-    blocks = F.ceil(F.col("size") / block).cast("long")
-    dealt = large.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).select("key", "low", "high", "own", "node", "words", "most", "label")
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("node").combine_chunks()
-        node = t.column("node").to_numpy()
-        words = t.column("words").combine_chunks().flatten().to_numpy(zero_copy_only=False).view("<u8").reshape(len(node), -1)
-        found = bucket_pairs(words, t.column("most").to_numpy(), t.column("label").to_numpy(), t.column("own").to_numpy(), sure)
-        x = node[np.array(found, dtype=np.int64).reshape(-1, 2)]
-        return pa.table({"u": pa.array(x.min(axis=1), pa.int64()), "v": pa.array(x.max(axis=1), pa.int64())})
-
-    return dealt.groupBy("key", "low", "high").applyInArrow(run, "u long, v long").distinct()
-
-
-def similar_links(distinct: DataFrame, exact: Callable[[DataFrame], DataFrame], sure: int, bucket_limit: int = 32) -> DataFrame:
-    """Edges (u, v), u < v, between nodes that share a key, pass the distance gate and are linked by `exact`.
-
-    distinct: node, words (array), keys (array) and most, the bits in which linked nodes may differ. Members of a bucket
-    up to the limit meet each other. In a larger one each first meets the bucket's least and greatest node, which links
-    dense groups without their square; then all members of different classes are compared, block by block.
-    """
-    keyed = distinct.select("node", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = keyed.join(sizes, "key")
-    few = met.where(F.col("size") <= bucket_limit).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
-    inside = few.select(F.explode("m").alias("u"), "m").select("u", F.explode("m").alias("v")).where("u < v")
-    large = met.where(F.col("size") > bucket_limit).checkpoint()
-    pivots = large.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    many = large.join(pivots, "key").select("node", F.explode(F.array("low", "high")).alias("pivot")).where("node <> pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))
-    pairs = inside.union(many).distinct()
-    left = distinct.select(F.col("node").alias("u"), F.col("words").alias("a"), F.col("most").alias("p"))
-    right = distinct.select(F.col("node").alias("v"), F.col("words").alias("b"), F.col("most").alias("q"))
-    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = exact(pairs.join(left, "u").join(right, "v").where(apart <= F.least("p", "q")).select("u", "v")).checkpoint()
-    if large.limit(1).count() == 0:
-        return near
-    classes = components(near).withColumnRenamed("node", "__node")
-    members = large.join(distinct.select("node", "words", "most"), "node").join(classes, F.col("node") == F.col("__node"), "left").withColumn("label", F.coalesce("root", "node"))
-    return near.union(exact(pairs_in_large(members, sure)).checkpoint()).distinct()
-
-
-def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
-    """doc_id, __hash (of the text) and root of each row: rows of one root are near-duplicates.
-
-    Documents are linked if the Jaccard similarity of their distinct shingles of `width` words is at least `similarity`,
-    which is verified on the sets. Candidates share a band (at least about `recall` of the pairs of just that similarity,
-    nearly all closer ones) or, short texts, one of their least shingles (all pairs).
-    """
-    spark = docs.sparkSession
-    checkpoint_dir(spark)
-    small_arrow_batches(spark)
-    n = docs.count()
-    bits, bands, size = bands_for(n, similarity, recall)
-    narrow = docs.select("doc_id", F.xxhash64("text").alias("__hash"), "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            nodes, longs, keys, most = [], [], [], []
-            for t in b.column("text").to_pylist():
-                hashes = shingle_set(t, width)
-                words = long_fingerprint(hashes, size)
-                nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
-                longs.append(words.view("<i8").tolist())
-                keys.append(meeting_keys(hashes, words, bits, bands, similarity))
-                most.append(most_bits(len(hashes), size * BITS, similarity))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__hash"), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(longs, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(most, pa.int32())], names=["doc_id", "__hash", "node", "words", "keys", "most"])
-
-    kind = narrow.schema["doc_id"].dataType.simpleString()
-    marks = narrow.mapInArrow(run, f"doc_id {kind}, __hash long, node long, words array<long>, keys array<long>, most int").checkpoint()
-    distinct = marks.dropDuplicates(["node"]).select("node", "words", "keys", "most")
-    sure = int(size * BITS * bit_difference(similarity) - 4 * math.sqrt(size * BITS * bit_difference(similarity)))
-    found = components(similar_links(distinct, lambda pairs: verified(pairs, docs, marks, width, similarity), sure)).withColumnRenamed("node", "__node")
-    return marks.join(found, F.col("node") == F.col("__node"), "left").select("doc_id", "__hash", F.coalesce("root", "node").alias("root"))
-
-
-def verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame, width: int, similarity: float, broadcast_nodes: int = 1_000_000) -> DataFrame:
-    """The pairs (u, v) whose shingle sets are similar, by the sets themselves; only texts of candidates are read for it."""
-    pairs = pairs.checkpoint()
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = marks.select("node", "__hash").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("__hash").alias("__hash")).checkpoint()
-    if wanted.count() <= broadcast_nodes:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.xxhash64("text").alias("__hash"), "text").join(wanted, "__hash").select("node", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shingle_set(t, width).view("<i8") for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    sets = texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]).checkpoint()
-    both = pairs.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-
-
-def keep_one_of_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """As keep_representatives, of groups linked by `similar_classes`."""
-    return keep_first(docs, similar_classes(docs, width, similarity).checkpoint())
-
-
 def keep_representatives(docs: DataFrame, radius: int = 2) -> DataFrame:
     """The rows of docs without near-duplicates of a kept one: of each component the row of smallest doc_id.
 
@@ -465,19 +256,30 @@ def keep_representatives(docs: DataFrame, radius: int = 2) -> DataFrame:
     return keep_first(docs, marks.join(classify(marks, radius), "fingerprint").select("doc_id", "__hash", "root"))
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def keep_first(docs: DataFrame, rooted: DataFrame) -> DataFrame:
-    """The first row of docs of each root; rooted: doc_id, __hash and root of each row."""
+    """The first row of docs of each root; rooted: doc_id, __hash (of the text) and root of each row.
+
+    Rows travel as one struct, so that their columns' names meet no others. The rows to drop are broadcast if they are few.
+    """
     ordered = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__hash")
-    best = rooted.groupBy("root").agg(F.min(ordered).alias("b"))
+    best = rooted.groupBy("root").agg(F.min(ordered).alias("b")).select(F.col("b.doc_id").alias("__id"), F.col("b.__hash").alias("__h"))
     rows = rooted.groupBy("doc_id", "__hash").agg(F.count("*").alias("__rows"))
-    keep = best.select(F.col("b.doc_id").alias("__id"), F.col("b.__hash").alias("__h")).join(rows, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash"))).select("__id", "__h", "__rows").checkpoint()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")))
-    columns = docs.columns
-    single = kept.where("__rows = 1").select(*columns)
-    if keep.where("__rows > 1").limit(1).count() == 0:
-        return single
-    first = kept.where("__rows > 1").groupBy("__id", "__h").agg(F.min(F.struct(*columns)).alias("r"))
-    return single.union(first.select(*[F.col("r")[c].alias(c) for c in columns]))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h"))
+    judged = rows.join(best, same, "left").select("doc_id", "__hash", "__rows", F.col("__h").isNotNull().alias("__best")).where("not __best or __rows > 1").checkpoint()
+    named = judged.select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__h"), "__best")
+    boxed = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col("doc_id"), F.xxhash64("text").alias("__hash"))
+    unbox = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    kept = boxed.join(few(named), same, "left_anti").select(*unbox)
+    repeated = named.where("__best")
+    if repeated.limit(1).count() == 0:
+        return kept
+    once = boxed.join(few(repeated), same).groupBy("__id", "__h").agg(F.min("row").alias("row"))
+    return kept.union(once.select(*unbox))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
