@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,6 +34,28 @@ def local(spark: SparkSession) -> bool:
     return master == "local" or master.startswith("local[")
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def map_rows(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *used: str) -> DataFrame:
+    """mapInArrow with the columns and types of rows, under any names; run finds the used columns by their names."""
+    numbered = rows.toDF(*[c if c in used else f"__{k}" for k, c in enumerate(rows.columns)])
+    return numbered.mapInArrow(run, numbered.schema).toDF(*rows.columns)
+
+
+_resident: dict = {}
+
+
+def resident(key: object, make: Callable[[], object]) -> object:
+    """This worker's object of that key, made once; it keeps one at a time, so that models of several operators don't add up."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
 def few(rows: DataFrame, most: int = 200_000) -> DataFrame:
     """rows, to be broadcast if they are at most so many, which is counted; beyond that Spark shuffles them."""
     return F.broadcast(rows) if rows.count() <= most else rows
