@@ -14,16 +14,17 @@ frequent token. Lines whose template does not recur then join the recurring temp
 most tokens, if these are `similarity` of theirs. At most b mismatches leave one of b + 1 groups of positions without one, so lines and
 templates meet by the hashes of these groups, and every pair that is similar enough does.
 
-Statistics are taken of distinct lines with their counts, all combined before they are shuffled, so a line in a third of
-all documents is one row; only hashes of lines travel, except for lines in leaves that recur. The hashes of these leaves
-are broadcast if they are at most `broadcast_leaves`, which is counted first; if more, lines are shuffled to meet them. Documents are shuffled
-once, by id and hash of the text, to meet the hashes of their dropped lines. Lines are known by 64-bit hashes: among 10^11
-distinct lines about 300 pairs share one.
+Documents are parsed once into the hashes of their lines and leaves, from which all counts and holders come; they are
+read a second time for the text of distinct lines in leaves that recur, and a third time to take lines out. Counts are
+combined before they are shuffled. A line, token or template in a third of all rows is no hot key of a join: keys of over
+a 20,000th of the rows, at most 20,000 then, are broadcast; the others are shuffled. The hashes of leaves that recur are
+broadcast if they are at most `broadcast_leaves`, which is counted first; if more, lines are shuffled to meet them. Lines are
+known by 64-bit hashes: among 10^11 distinct lines about 300 pairs share one.
 
 Defined results: lines are split at newlines, tokens at spaces, tabs and carriage returns; lines of fewer than `min_tokens` tokens (empty ones
 too) are never dropped; null text stays null; texts that lose all lines become empty, the row stays; rows that repeat
-with equal id and text are one document and are treated alike; null doc_ids come last in the order of documents; other
-columns pass through, under any names but those that begin with __lt_.
+with equal id and text are one document in all counts and are treated alike; null doc_ids come last in the order of
+documents; an empty table stays empty; other columns pass through, under any names but __lt_lines and __lt_dropped.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.session import checkpoint_dir
+from leafmill.session import checkpoint_dir, few, quoted
 
 ID, HASH = "__lt_id", "__lt_hash"
+COLD = 10_000  # rows of a key that is never hot
 
 
 def tokens(line: Column) -> Column:
@@ -47,29 +49,79 @@ def leaf(cut: Column, leading: int) -> Column:
     return F.xxhash64(F.size(cut), masked)
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = 3, leading: int = 3, similarity: float = 0.7, min_tokens: int = 3, broadcast_leaves: int = 1_000_000, share: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(line, template) by hashes for lines whose template may recur, and (template, docs, first document) of those that do."""
+def joined(rows: DataFrame, small: DataFrame, keys: list[str], weight: str, total: int, most: int = 20_000) -> DataFrame:
+    """rows joined with small on keys; `weight` of small says how many rows have its key, of `total` in all.
+
+    Keys of over total / most rows are at most `most`, so they are broadcast; the rest meet in a shuffle without a hot key.
+    """
+    hot = small.where(F.col(weight) > max(COLD, total // most)).drop(weight)
+    if hot.limit(1).count() == 0:
+        return rows.join(small.drop(weight), keys)
+    names = hot.select(*keys).distinct()
+    cold = rows.join(F.broadcast(names), keys, "left_anti").join(small.drop(weight).join(F.broadcast(names), keys, "left_anti"), keys)
+    return rows.join(few(hot), keys).unionByName(cold)
+
+
+def line_hashes(docs: DataFrame, leading: int, min_tokens: int) -> DataFrame:
+    """ID, HASH, and of each distinct line with tokens enough its hash and leaf; rows that repeat are one."""
+    lines = F.transform(F.array_distinct(F.split("text", "\n")), lambda x: F.struct(x.alias("line"), tokens(x).alias("cut")))
+    placed = F.transform(F.filter(lines, lambda x: F.size(x["cut"]) >= min_tokens), lambda x: F.struct(F.xxhash64(x["line"]).alias("lh"), leaf(x["cut"], leading).alias("leaf")))
+    each = docs.where("text is not null").select(F.col("doc_id").alias(ID), F.xxhash64("text").alias(HASH), placed.alias("placed")).checkpoint()
+    again = repeated(each)
+    if again is not None:
+        each = distinct_rows(each, again)
+    return each.select(ID, HASH, F.explode("placed").alias("p")).select(ID, HASH, "p.lh", "p.leaf")
+
+
+def repeated(rows: DataFrame) -> DataFrame | None:
+    """The (ID, HASH) that several rows have, as __lt_i and __lt_h; None if no row repeats."""
+    found = rows.groupBy(ID, HASH).agg(F.count("*").alias("n")).where("n > 1").select(F.col(ID).alias("__lt_i"), F.col(HASH).alias("__lt_h")).checkpoint()
+    return few(found) if found.limit(1).count() else None
+
+
+def distinct_rows(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """One row of each (ID, HASH); only those that repeat are shuffled."""
+    same = F.col(ID).eqNullSafe(F.col("__lt_i")) & (F.col(HASH) == F.col("__lt_h"))
+    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates([ID, HASH]))
+
+
+def found_lines(docs: DataFrame, min_docs: int, leading: int, similarity: float, min_tokens: int, broadcast_leaves: int, share: float | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lh, template) of lines whose template may recur; (template, docs, rows, first document) of those that do; and
+    (ID, HASH, lh, template) of the documents' lines."""
     checkpoint_dir(docs.sparkSession)
-    held = docs.select(F.col("doc_id").alias(ID), F.xxhash64("text").alias(HASH), "text").where("text is not null")
-    each = held.select(ID, HASH, F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    parsed = each.select(ID, HASH, "line", tokens(F.col("line")).alias("cut")).where(F.size("cut") >= min_tokens)
-    placed = parsed.select("line", leaf(F.col("cut"), leading).alias("leaf"))
-    full = placed.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf").checkpoint()
+    held = docs.select("doc_id", "text")
+    each = line_hashes(held, leading, min_tokens)
+    full = each.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).checkpoint()
+    total = full.agg(F.sum("n")).first()[0] or 0
+    leaves = full.select("leaf")
     if full.count() <= broadcast_leaves:
-        full = F.broadcast(full)
-    distinct = placed.join(full, "leaf", "left_semi").groupBy("leaf", "line").agg(F.count("*").alias("n"))
-    if share is not None:
-        distinct = distinct.checkpoint()  # read three times
-    cut = distinct.select("leaf", F.xxhash64("line").alias("lh"), "n", tokens(F.col("line")).alias("cut"))
+        leaves = F.broadcast(leaves)
+    counts = each.join(leaves, "leaf", "left_semi").groupBy("lh").agg(F.count("*").alias("n"))
+    exploded = held.where("text is not null").select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+    placed = exploded.select("line", tokens(F.col("line")).alias("cut")).where(F.size("cut") >= min_tokens).select("line", leaf(F.col("cut"), leading).alias("leaf"))
+    distinct = placed.join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.count("*").alias("__rows")).select("leaf", "line", F.xxhash64("line").alias("lh"))
+    distinct = distinct.join(counts, "lh").checkpoint()
+    cut = distinct.select("leaf", "lh", "n", tokens(F.col("line")).alias("cut"))
     each_token = cut.select("leaf", "lh", "n", F.size("cut").alias("size"), F.posexplode("cut").alias("at", "token"))
-    constants = each_token.groupBy("leaf", "at", "token").agg(F.sum("n").alias("held")).where(F.col("held") >= min_docs).select("leaf", "at", "token")
-    fixed = each_token.join(constants, ["leaf", "at", "token"]).groupBy("leaf", "lh", "size").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("kept"))
-    lines = fixed.where(F.size("kept") >= similarity * F.col("size")).select("lh", F.xxhash64("leaf", F.col("kept")).alias("template"))
-    lines = (lines if share is None else relative_lines(cut, each_token, min_docs, leading, similarity, share)).checkpoint()
-    holders = each.select(ID, HASH, F.xxhash64("line").alias("lh")).join(lines, "lh").select("template", ID, HASH).distinct()
+    in_all = distinct.agg(F.sum(F.size(tokens(F.col("line"))))).first()[0] or 0
+    held_at = each_token.groupBy("leaf", "at", "token").agg(F.sum("n").alias("held"), F.count("*").alias("rows")).where(F.col("held") >= min_docs).checkpoint()
+    if share is None:
+        fixed = joined(each_token, held_at.drop("held"), ["leaf", "at", "token"], "rows", in_all).groupBy("leaf", "lh", "size", "n").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("kept"))
+        lines = fixed.where(F.size("kept") >= similarity * F.col("size")).select("lh", F.xxhash64("leaf", F.col("kept")).alias("template"), "n")
+    else:
+        lines = relative_lines(cut, joined(each_token, held_at, ["leaf", "at", "token"], "rows", in_all), min_docs, leading, similarity, share)
+    lines = lines.checkpoint()
+    matched = joined(each.select(ID, HASH, "lh"), lines, ["lh"], "n", total).select(ID, HASH, "lh", "template").checkpoint()
     order = F.struct(F.col(ID).isNull().alias("unnamed"), F.col(ID), F.col(HASH))
-    recurring = holders.groupBy("template").agg(F.count("*").alias("docs"), F.min(order).alias("first")).where(F.col("docs") >= min_docs)
-    return lines, recurring
+    holders = matched.groupBy("template", ID, HASH).agg(F.count("*").alias("rows"))
+    recurring = holders.groupBy("template").agg(F.count("*").alias("docs"), F.sum("rows").alias("rows"), F.min(order).alias("first")).where(F.col("docs") >= min_docs).checkpoint()
+    return lines.drop("n"), recurring, matched
+
+
+def recurring_lines(docs: DataFrame, min_docs: int = 3, leading: int = 3, similarity: float = 0.7, min_tokens: int = 3, broadcast_leaves: int = 1_000_000, share: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(lh, template) by hashes for lines whose template may recur, and (template, docs, first document) of those that do."""
+    lines, recurring, _ = found_lines(docs, min_docs, leading, similarity, min_tokens, broadcast_leaves, share)
+    return lines, recurring.drop("rows")
 
 
 def groups_of(cut: Column, size: Column, leading: int, similarity: float) -> Column:
@@ -80,45 +132,45 @@ def groups_of(cut: Column, size: Column, leading: int, similarity: float) -> Col
     return F.transform(at_rest, lambda g: F.struct(g.alias("g"), F.when(~F.exists(chosen(g), lambda x: x["t"].isNull()), F.xxhash64(chosen(g))).alias("h")))
 
 
-def relative_lines(cut: DataFrame, each_token: DataFrame, min_docs: int, leading: int, similarity: float, share: float) -> DataFrame:
-    """(lh, template) of lines whose template may recur, by constants relative to the line; others join a similar one."""
-    held = each_token.groupBy("leaf", "at", "token").agg(F.sum("n").alias("held")).where(F.col("held") >= min_docs)
+def relative_lines(cut: DataFrame, held_tokens: DataFrame, min_docs: int, leading: int, similarity: float, share: float) -> DataFrame:
+    """(lh, template, n) of lines whose template may recur, by constants relative to the line; others join a similar one."""
     most = F.sort_array(F.collect_list(F.struct("held", "at", "token")), asc=False)
-    fixed = each_token.join(held, ["leaf", "at", "token"]).groupBy("leaf", "lh", "size", "n").agg(most.alias("most"))
+    fixed = held_tokens.groupBy("leaf", "lh", "size", "n").agg(most.alias("most"))
     wanted = F.ceil(similarity * F.col("size") - 1e-9).cast("int")
     fixed = fixed.where(F.size("most") >= wanted).withColumn("least", share * F.element_at("most", wanted)["held"])
     kept = F.sort_array(F.transform(F.filter("most", lambda x: x["held"] >= F.col("least")), lambda x: F.struct(x["at"].alias("at"), x["token"].alias("token"))))
     own = fixed.select("leaf", "lh", "size", "n", kept.alias("kept")).withColumn("template", F.xxhash64("leaf", "kept")).checkpoint()
-    found = own.groupBy("template").agg(F.sum("n").alias("held"), F.first("leaf").alias("leaf"), F.first("size").alias("size"), F.first("kept").alias("kept")).where(F.col("held") >= min_docs)
+    found = own.groupBy("template").agg(F.sum("n").alias("held"), F.count("*").alias("rows"), F.first("leaf").alias("leaf"), F.first("size").alias("size"), F.first("kept").alias("kept")).where(F.col("held") >= min_docs).checkpoint()
+    here = joined(own.select("lh", "n", "template"), found.select("template", "rows"), ["template"], "rows", own.count()).select("lh", "template", "n")
     pattern = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.element_at(F.map_from_entries("kept"), i))
     patterns = found.select("template", "leaf", "size", pattern.alias("pattern"))
-    here = own.join(found.select("template"), "template", "left_semi").select("lh", "template")
     keyed = patterns.select("template", "leaf", "pattern", F.explode(groups_of(F.col("pattern"), F.col("size"), leading, similarity)).alias("k")).where("k.h is not null")
-    rest = cut.join(here, "lh", "left_anti").join(found.select("leaf").distinct(), "leaf", "left_semi")
-    lines = rest.select("lh", "leaf", "cut", F.explode(groups_of(F.col("cut"), F.size("cut"), leading, similarity)).alias("k"))
+    rest = cut.join(here.select("lh"), "lh", "left_anti").join(few(found.select("leaf").distinct()), "leaf", "left_semi")
+    lines = rest.select("lh", "n", "leaf", "cut", F.explode(groups_of(F.col("cut"), F.size("cut"), leading, similarity)).alias("k")).checkpoint()
+    met_at = lines.groupBy("leaf", "k").agg(F.count("*").alias("rows"))
+    weighed = keyed.join(met_at, ["leaf", "k"]).checkpoint()
     alike = F.size(F.filter(F.zip_with("cut", "pattern", lambda a, b: a == b), lambda x: x))
-    met = lines.join(keyed, ["leaf", "k"]).select("lh", "template", F.size("cut").alias("size"), alike.alias("alike")).where(F.col("alike") >= similarity * F.col("size") - 1e-9)
-    joined = met.groupBy("lh").agg(F.max(F.struct("alike", "template"))["template"].alias("template"))
-    return here.union(joined)
+    met = joined(lines, weighed, ["leaf", "k"], "rows", lines.count()).select("lh", "n", "template", F.size("cut").alias("size"), alike.alias("alike")).where(F.col("alike") >= similarity * F.col("size") - 1e-9)
+    near = met.groupBy("lh", "n").agg(F.max(F.struct("alike", "template"))["template"].alias("template"))
+    return here.unionByName(near)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, leading: int = 3, similarity: float = 0.7, min_tokens: int = 3, keep_first: bool = True, share: float | None = None) -> DataFrame:
     """docs with the lines of recurring templates taken out of `text`, and n_lines and n_dropped as __lt_lines, __lt_dropped."""
-    lines, recurring = recurring_lines(docs, min_docs, leading, similarity, min_tokens, share=share)
-    hits = lines.join(recurring.select("template", "first"), "template").select("lh", "first")
-    held = docs.select(F.col("doc_id").alias(ID), F.xxhash64("text").alias(HASH), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    marked = held.select(ID, HASH, F.xxhash64("line").alias("lh")).join(hits, "lh")
+    _, recurring, matched = found_lines(docs, min_docs, leading, similarity, min_tokens, 1_000_000, share)
+    marked = joined(matched, recurring.select("template", "first", "rows"), ["template"], "rows", recurring.agg(F.sum("rows")).first()[0] or 0)
     if keep_first:
         marked = marked.where(~(F.col("first")[ID].eqNullSafe(F.col(ID)) & (F.col("first")[HASH] == F.col(HASH))))
-    drops = marked.groupBy(ID, HASH).agg(F.collect_set("lh").alias("__lt_gone"))
-    met = docs.withColumn("__lt_key", F.xxhash64("text")).join(drops, F.col("doc_id").eqNullSafe(F.col(ID)) & (F.col("__lt_key") == F.col(HASH)), "left")
-    parts = F.split("text", "\n")
-    left = F.when(F.col("__lt_gone").isNull(), parts).otherwise(F.filter(parts, lambda x: ~F.array_contains("__lt_gone", F.xxhash64(x))))
-    out = met.withColumn("__lt_left", left)
-    return out.select(
-        *[F.when(F.col("__lt_gone").isNull(), F.col(c)).otherwise(F.array_join("__lt_left", "\n")).alias(c) if c == "text" else F.col(c) for c in docs.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).alias("__lt_lines"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(parts) - F.size("__lt_left")).alias("__lt_dropped"),
+    drops = marked.groupBy(ID, HASH).agg(F.collect_set("lh").alias("gone"))
+    boxed = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
+    met = boxed.join(drops, F.col("id").eqNullSafe(F.col(ID)) & (F.col("key") == F.col(HASH)), "left")
+    text = F.col("row").getField("text")
+    met = met.withColumn("parts", F.split(text, "\n"))
+    left = F.when(F.col("gone").isNull(), F.col("parts")).otherwise(F.filter("parts", lambda x: ~F.array_contains("gone", F.xxhash64(x))))
+    return met.withColumn("left", left).select(
+        *[(F.when(F.col("gone").isNull(), text).otherwise(F.array_join("left", "\n")) if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns],
+        F.when(text.isNull(), 0).otherwise(F.size("parts")).alias("__lt_lines"),
+        F.when(text.isNull(), 0).otherwise(F.size("parts") - F.size("left")).alias("__lt_dropped"),
     )
 
 

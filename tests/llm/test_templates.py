@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 
 from leafmill.llm import templates
@@ -63,6 +64,36 @@ def test_random_tables(spark):
     compare(spark, docs, keep_first=False, min_docs=2)
 
 
+def test_repeated_rows_are_one_document(spark, tmp_path):
+    docs = [(1, "alpha beta gamma X9"), (2, "alpha beta gamma Y9"), (3, "alpha beta gamma Z9")]
+    docs += [docs[0], docs[0], (4, "alpha beta gamma X9"), (1, "another text of document one"), (1, None), (1, None), (None, "alpha beta gamma X9"), (None, "alpha beta gamma X9")]
+    compare(spark, docs)
+    compare(spark, docs, min_docs=2)
+    path = str(tmp_path / "documents.parquet")
+    named = [(d, t) for d, t in docs if d is not None and t is not None and (d, t) != docs[6]]
+    spark.createDataFrame(named, "doc_id long, text string").coalesce(1).write.parquet(path)
+    by_sql = duckdb.sql(templates.SQL.replace("documents ", f"read_parquet('{path}/*.parquet') ")).fetchall()
+    got = [tuple(r) for r in templates.query(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(by_sql) and sum(r[2] for r in got) > 0
+
+
+def test_hot_keys_are_joined_alike(spark, monkeypatch):
+    random.seed(3)
+    docs = [(i, "\n".join(random.choice(["the same line of all", "page 1 of 9 now", f"own line {i} here", "one two three four five"]) for _ in range(4))) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    plain = sorted(map(tuple, templates.dedup_lines(df, share=0.5).collect()))
+    monkeypatch.setattr(templates, "COLD", 1)
+    compare(spark, docs)
+    assert sorted(map(tuple, templates.dedup_lines(df, share=0.5).collect())) == plain
+
+
+def test_columns_of_any_name(spark):
+    same = "the very same line"
+    df = spark.createDataFrame([(i, same, "u", "p", 1) for i in range(4)], ["doc_id", "text", "meta.url", "parts", "__lt_id"])
+    out = templates.dedup_lines(df)
+    assert out.columns == [*df.columns, "__lt_lines", "__lt_dropped"] and sorted(r["text"] for r in out.collect()) == ["", "", "", same]
+
+
 def test_query_on_the_table(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
