@@ -10,8 +10,9 @@ Turn: <|im_start|>ROLE newline TEXT<|im_end|> newline. Inside texts and roles a
 newline in a role is written as \\n.
 
 Rows of a conversation are sorted and streamed through one task; the task holds one window at a time, so a conversation
-of any length needs no more memory than its windows (spilling sort, constant state). A turn is never split: one over
-the budget makes a window of its own that exceeds it.
+of any length needs no more memory than its windows (spilling sort, constant state). A span opens with room for its first
+turn: the system turn is left out of that window if the turn fits only without it, and the oldest repeated turns go until
+the turn fits. A turn is never split, so a window is over the budget only if it holds a single own turn that is over the budget alone.
 
 Defined results: null role or text is empty; rows go by turn (nulls first), ties by role and text, repeated rows repeat;
 a null conv_id is one conversation; an empty table gives no rows; other columns are ignored.
@@ -66,11 +67,18 @@ class Windows:
         self.before: list[tuple] = []  # the latest turns, within the history budget
         self.span: list[tuple] = []
         self.total = self.span_from = self.count = 0  # prefix sums of tokens
+        self.led = True  # by the system turn
 
     def repeated(self) -> list[tuple]:
-        head = [self.system] if self.system and self.system not in self.span and self.system not in self.before else []
+        head = [self.system] if self.system and self.led and self.system not in self.span and self.system not in self.before else []
         return head + self.before
 
+    def make_room(self, n: int) -> None:
+        """Leave out of a window that opens with a turn of n tokens what would take it over the budget."""
+        self.led = n > self.budget or n + (self.system[3] if self.system else 0) <= self.budget
+        while self.before and sum(t[3] for t in self.repeated()) + n > self.budget:
+            self.before.pop(0)
+
     def close(self) -> dict:
         again, parts, loss, at = self.repeated(), [], [], 0
         for k, (_, role, text, _n) in enumerate(again + self.span):
@@ -94,6 +102,8 @@ class Windows:
         n, out = self.tokens(text), None
         if self.span and sum(t[3] for t in self.repeated()) + self.total + n - self.span_from > self.budget:
             out = self.close()
+        if not self.span:
+            self.make_room(n)
         turn = (number, role, text, n)
         self.span.append(turn)
         self.total += n

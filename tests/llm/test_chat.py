@@ -36,13 +36,31 @@ def test_windows():
             own = chat.read_turns(w["text"])
             assert w["n_tokens"] == sum(chat.byte_tokens(t) for _, t in own)
             fixed = sum(chat.byte_tokens(t) for _, t in own[: w["repeated"]])
-            assert w["n_tokens"] <= 60 or len(own) - w["repeated"] == 1
-            if k and turns[0][0] == "system":
+            first = chat.byte_tokens(own[w["repeated"]][1])
+            assert w["n_tokens"] <= 60 or (len(own) - w["repeated"] == 1 and first > 60)
+            if k and turns[0][0] == "system" and not 60 - chat.byte_tokens(turns[0][1]) < first <= 60:
                 assert own[0] == turns[0]
             head = int(bool(k) and any(r == "system" for r, _ in turns))
             assert fixed - head * chat.byte_tokens(own[0][1] if own else "") <= 20
 
 
+@given(st.lists(st.tuples(st.sampled_from(["system", "user", "assistant"]), st.integers(0, 500)), min_size=1, max_size=30), st.integers(0, 90))
+def test_windows_keep_the_budget(turns, history):
+    said = [(role, "x" * n) for role, n in turns]
+    windows = run(said, 100, history)
+    for w in windows:
+        own = [chat.byte_tokens(t) for _, t in chat.read_turns(w["text"])]
+        assert w["n_tokens"] == sum(own) and (sum(own) <= 100 or (len(own) - w["repeated"] == 1 and own[-1] > 100))
+    assert [t for w in windows for t in chat.read_turns(w["text"])[w["repeated"] :]] == said
+
+
+def test_history_makes_room_for_a_long_turn():
+    turn = lambda n: ("user", "x" * (4 * (n - 4)))
+    assert [w["n_tokens"] for w in run([turn(204)] * 5 + [turn(900)], 1024, 256)] == [1020, 900]
+    windows = run([("system", "s" * 3200), turn(204), turn(704)], 1024, 256)
+    assert [w["n_tokens"] for w in windows] == [1008, 908] and chat.read_turns(windows[1]["text"])[0][0] == "user"
+
+
 def expected(turns):
     loss = "".join(t for r, t in turns if r == "assistant")
     return (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
