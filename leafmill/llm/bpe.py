@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from leafmill.session import small_arrow_batches
+from leafmill.session import resident, small_arrow_batches
 
 #: The split pattern of the vocabulary file (fixed value; white space by its Unicode property).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
@@ -169,14 +169,9 @@ class Encoder:
         return b" ".join(map(self.texts.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode()
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This process's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return resident(("bpe", path), lambda: Encoder(path))
 
 
 def pieces(texts: list[str | None], size: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:

@@ -21,6 +21,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from uuid import uuid4
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +30,14 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.session import few, small_arrow_batches
+from leafmill.session import few, map_rows, resident, small_arrow_batches
 
 WORD = regex.compile(r"\p{L}+")
 BUCKETS = 1 << 17
 ORDERS = (1, 2, 3, 4)
 BLOCK = 64
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
+WORDS_AT_ONCE = 4_096
 UNKNOWN = "und"
 
 
@@ -88,8 +91,11 @@ class Model:
         """Scores of distinct words for each language."""
         if not vocabulary:
             return np.zeros((0, len(self.languages)), dtype=np.float32)
-        index, begins = features(vocabulary)
-        return (self.bias + np.add.reduceat(self.weights[index], begins, axis=0)).astype(np.float32)
+        out = np.empty((len(vocabulary), len(self.languages)), dtype=np.float32)
+        for at in range(0, len(vocabulary), WORDS_AT_ONCE):  # features of few words at once: memory stays small
+            index, begins = features(vocabulary[at : at + WORDS_AT_ONCE])
+            out[at : at + WORDS_AT_ONCE] = self.bias + np.add.reduceat(self.weights[index], begins, axis=0)
+        return out
 
 
 def posteriors(model: Model, scores: np.ndarray, lengths: list[int]) -> np.ndarray:
@@ -203,7 +209,7 @@ def sample(docs: DataFrame, label: str, per_label: int, max_words: int) -> list[
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 cut = words(t)
                 spare = max(0, len(cut) - max_words)
-                begin = (int(i) * 2654435761 & 0xFFFFFFFF) % (spare + 1)
+                begin = crc32(str(i).encode()) * 2654435761 % (spare + 1)
                 out.append(" ".join(cut[begin : begin + max_words]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(b.column("label").to_pylist(), pa.string()), pa.array(out, pa.string())], names=["doc_id", "label", "text"])
 
@@ -315,12 +321,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keys: tuple[str,
     """The keys, `lang_pred` and `score` of each row."""
     spark = docs.sparkSession
     small_arrow_batches(spark)
-    sent = spark.sparkContext.broadcast(model)  # BUCKETS x languages
+    sent, key = spark.sparkContext.broadcast(model), uuid4().hex  # BUCKETS x languages
     narrow = docs.select(*keys, F.col(text).alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]), "lang_pred string, score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(sent.value)
+        labeller = resident(("langid", key), lambda: Labeller(sent.value))
         for b in batches:
             for at, texts in split_texts(b.column("__text").to_pylist()):
                 found = labeller.documents(texts)
@@ -337,10 +343,10 @@ def keep_known(docs: DataFrame, model: Model, margin: float = 1 / 15) -> DataFra
     """
     spark = docs.sparkSession
     small_arrow_batches(spark)
-    sent = spark.sparkContext.broadcast(model)
+    sent, key = spark.sparkContext.broadcast(model), uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(sent.value)
+        labeller = resident(("langid", key), lambda: Labeller(sent.value))
         guess = 1 / max(1, len(sent.value.languages))
         least = guess + margin * (1 - guess) - 1e-9
         for b in batches:
@@ -349,7 +355,7 @@ def keep_known(docs: DataFrame, model: Model, margin: float = 1 / 15) -> DataFra
                 keep = [x != UNKNOWN and s >= least for x, s in found]
                 yield b.slice(at, len(texts)).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, "text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

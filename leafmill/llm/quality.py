@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
             out = []
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 bag = passages(t)
-                begin = (int(i) * 2654435761 & 0xFFFFFFFF) % (max(0, len(bag) - max_passages) + 1)
+                begin = crc32(str(i).encode()) * 2654435761 % (max(0, len(bag) - max_passages) + 1)
                 out.append(" ".join(chain.from_iterable(bag[begin : begin + max_passages])))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(out, pa.string())], names=["doc_id", "y", "text"])
 

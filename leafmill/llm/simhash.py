@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.session import checkpoint_dir, few, small_arrow_batches
+from leafmill.session import checkpoint_dir, few, quoted, small_arrow_batches
 
 BITS = 64
 SEED = 42
@@ -256,11 +256,6 @@ def keep_representatives(docs: DataFrame, radius: int = 2) -> DataFrame:
     return keep_first(docs, marks.join(classify(marks, radius), "fingerprint").select("doc_id", "__hash", "root"))
 
 
-def quoted(name: str) -> Column:
-    """A column by its whole name, whatever characters it has."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def keep_first(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     """The first row of docs of each root; rooted: doc_id, __hash (of the text) and root of each row.
 
