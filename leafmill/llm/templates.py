@@ -10,9 +10,10 @@ template, so that a text that exists in many copies isn't lost with its copies;
 That rule (the query's, and its SQL's) counts constants by an absolute number, so in a leaf of many documents the values of
 a variable field become constants and its template falls apart into whole lines. With `share`, constants are relative to
 the line: of the tokens above only those count that `share` of the documents hold which hold its `similarity`-th most
-frequent token. Lines whose template does not recur then join the recurring template of their leaf with which they share
-most tokens, if these are `similarity` of theirs. At most b mismatches leave one of b + 1 groups of positions without one, so lines and
-templates meet by the hashes of these groups, and every pair that is similar enough does.
+frequent token. A line whose template does not recur then joins a recurring template of its leaf. At most b mismatches leave
+one of b + 1 groups of positions without one, so a line meets templates by the hashes of these groups: at each group the
+template that most documents hold of those with its tokens there. Of these, at most b + 1, it joins the one with which it
+shares most tokens, if these are `similarity` of its own. So a leaf of many lines and templates never makes all their pairs.
 
 Documents are parsed once into the hashes of their lines and leaves, from which all counts and holders come; they are
 read a second time for the text of distinct lines in leaves that recur, and a third time to take lines out. Counts are
@@ -124,12 +125,17 @@ def recurring_lines(docs: DataFrame, min_docs: int = 3, leading: int = 3, simila
     return lines, recurring.drop("rows")
 
 
-def groups_of(cut: Column, size: Column, leading: int, similarity: float) -> Column:
-    """(number, hash) of each group of positions behind the leading ones; null hashes where a token is null."""
+def group_keys(cut: Column, size: Column, leading: int, similarity: float) -> Column:
+    """A hash for each group of positions behind the leading ones, of its number and tokens; null where a token is null."""
     groups = (size - F.ceil(similarity * size - 1e-9) + 1).cast("int")
-    at_rest = F.sequence(F.lit(0), groups - 1)
-    chosen = lambda g: F.filter(F.transform(cut, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda x: (x["i"] >= leading) & (x["i"] % groups == g))
-    return F.transform(at_rest, lambda g: F.struct(g.alias("g"), F.when(~F.exists(chosen(g), lambda x: x["t"].isNull()), F.xxhash64(chosen(g))).alias("h")))
+
+    def key(g: Column) -> Column:
+        first = F.when(g >= leading, g).otherwise((g + groups * F.ceil((leading - g) / groups)).cast("int"))
+        places = F.when(first < size, F.sequence(first, size - 1, groups)).otherwise(F.array().cast("array<int>"))
+        chosen = F.transform(places, lambda i: F.get(cut, i))
+        return F.when(~F.exists(chosen, lambda t: t.isNull()), F.xxhash64(g, chosen))
+
+    return F.transform(F.sequence(F.lit(0), groups - 1), key)
 
 
 def relative_lines(cut: DataFrame, held_tokens: DataFrame, min_docs: int, leading: int, similarity: float, share: float) -> DataFrame:
@@ -143,14 +149,18 @@ def relative_lines(cut: DataFrame, held_tokens: DataFrame, min_docs: int, leadin
     found = own.groupBy("template").agg(F.sum("n").alias("held"), F.count("*").alias("rows"), F.first("leaf").alias("leaf"), F.first("size").alias("size"), F.first("kept").alias("kept")).where(F.col("held") >= min_docs).checkpoint()
     here = joined(own.select("lh", "n", "template"), found.select("template", "rows"), ["template"], "rows", own.count()).select("lh", "template", "n")
     pattern = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.element_at(F.map_from_entries("kept"), i))
-    patterns = found.select("template", "leaf", "size", pattern.alias("pattern"))
-    keyed = patterns.select("template", "leaf", "pattern", F.explode(groups_of(F.col("pattern"), F.col("size"), leading, similarity)).alias("k")).where("k.h is not null")
+    patterns = found.select("template", "leaf", "held", "size", pattern.alias("pattern"))
+    keyed = patterns.select("template", "leaf", "held", F.explode(group_keys(F.col("pattern"), F.col("size"), leading, similarity)).alias("k")).where("k is not null")
+    heads = keyed.groupBy("leaf", "k").agg(F.max(F.struct("held", "template"))["template"].alias("template"))
     rest = cut.join(here.select("lh"), "lh", "left_anti").join(few(found.select("leaf").distinct()), "leaf", "left_semi")
-    lines = rest.select("lh", "n", "leaf", "cut", F.explode(groups_of(F.col("cut"), F.size("cut"), leading, similarity)).alias("k")).checkpoint()
+    lines = rest.select("lh", "leaf", F.explode(group_keys(F.col("cut"), F.size("cut"), leading, similarity)).alias("k")).checkpoint()
     met_at = lines.groupBy("leaf", "k").agg(F.count("*").alias("rows"))
-    weighed = keyed.join(met_at, ["leaf", "k"]).checkpoint()
+    weighed = heads.join(met_at, ["leaf", "k"]).checkpoint()
+    pairs = joined(lines, weighed, ["leaf", "k"], "rows", lines.count()).select("lh", "template").distinct().checkpoint()
+    asked = patterns.select("template", "pattern").join(pairs.groupBy("template").agg(F.count("*").alias("rows")), "template").checkpoint()
+    texts = pairs.join(cut.select("lh", "n", "cut"), "lh")
     alike = F.size(F.filter(F.zip_with("cut", "pattern", lambda a, b: a == b), lambda x: x))
-    met = joined(lines, weighed, ["leaf", "k"], "rows", lines.count()).select("lh", "n", "template", F.size("cut").alias("size"), alike.alias("alike")).where(F.col("alike") >= similarity * F.col("size") - 1e-9)
+    met = joined(texts, asked, ["template"], "rows", pairs.count()).select("lh", "n", "template", F.size("cut").alias("size"), alike.alias("alike")).where(F.col("alike") >= similarity * F.col("size") - 1e-9)
     near = met.groupBy("lh", "n").agg(F.max(F.struct("alike", "template"))["template"].alias("template"))
     return here.unionByName(near)
 
