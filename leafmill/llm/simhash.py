@@ -159,20 +159,22 @@ def distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def keys_of(part: int, group: list[int], threshold: int) -> Column:
+    """(part, value, indexed) of a fingerprint in a group of bits: its own value, and those within the threshold."""
+    value = F.col("fingerprint").bitwiseAND(F.lit(signed(sum(1 << b for b in group))))
+    flips = [signed(sum(1 << b for b in bits)) for d in range(1, threshold + 1) for bits in combinations(group, d)]
+    key = lambda v, indexed: F.struct(F.lit(part).alias("part"), v.alias("value"), F.lit(indexed).alias("indexed"))
+    own = F.array(key(value, True))
+    if not flips:
+        return own
+    return F.concat(own, F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x: key(value.bitwiseXOR(x), False)))
+
+
 def links(distinct: DataFrame, radius: int = 2, bucket_limit: int = 64) -> DataFrame:
     """Edges (u, v), u < v, whose components are those of all pairs of distinct fingerprints within the radius."""
     n, together = bit_statistics(distinct)
     groups, thresholds = plan(n, together, radius)
-    probes = []
-    for k, (g, t) in enumerate(zip(groups, thresholds, strict=True)):
-        if t < 0:
-            continue
-        mask = signed(sum(1 << b for b in g))
-        flips = [signed(sum(1 << b for b in bits)) for d in range(1, t + 1) for bits in combinations(g, d)]
-        value = F.col("fingerprint").bitwiseAND(F.lit(mask))
-        own = F.struct(value.alias("value"), F.lit(True).alias("indexed"))
-        near = F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x, v=value: F.struct(v.bitwiseXOR(x).alias("value"), F.lit(False).alias("indexed"))) if flips else None
-        probes.append(F.transform(F.concat(F.array(own), near) if flips else F.array(own), lambda s, k=k: F.struct(F.lit(k).alias("part"), s["value"].alias("value"), s["indexed"].alias("indexed"))))
+    probes = [keys_of(k, g, t) for k, (g, t) in enumerate(zip(groups, thresholds, strict=True)) if t >= 0]
     keyed = distinct.select("fingerprint", F.explode(F.concat(*probes)).alias("s")).select("fingerprint", "s.part", "s.value", "s.indexed")
     sizes = keyed.groupBy("part", "value").agg(F.count("*").alias("size"), F.max("indexed").alias("hit")).where("size > 1 and hit").drop("hit")
     met = keyed.join(sizes, ["part", "value"])

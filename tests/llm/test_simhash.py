@@ -70,6 +70,22 @@ def test_components_of_dense_groups(spark, radius, limit):
     assert got == {v: least[root[v]] for v in values}
 
 
+@pytest.mark.parametrize("cut", [([32, 32], [0, 1]), ([32, 32], [1, 0]), ([64], [2]), ([20, 22, 22], [0, 0, 0]), ([10, 22, 32], [-1, 0, 1])])
+def test_every_allocation_finds_all_links(spark, monkeypatch, cut):
+    sizes, thresholds = cut
+    random.seed(7)
+    bits = random.sample(range(64), 64)
+    groups = [sorted(bits[sum(sizes[:k]) : sum(sizes[: k + 1])]) for k in range(len(sizes))]
+    monkeypatch.setattr(simhash, "plan", lambda *_: (groups, thresholds))
+    values = set()
+    for _ in range(40):
+        c = random.getrandbits(64)
+        values |= {c, c ^ 1 << random.randrange(64), c ^ 1 << random.randrange(64) ^ 1 << random.randrange(64)}
+    rows = [(i, int(np.array(v, dtype=np.uint64).astype(np.int64))) for i, v in enumerate(sorted(values))]
+    got = {tuple(sorted((r["u"] % (1 << 64), r["v"] % (1 << 64)))) for r in simhash.links(spark.createDataFrame(rows, "least long, fingerprint long")).collect()}
+    assert got == {(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 2} and got
+
+
 def test_plan_covers_the_radius():
     rng = np.random.default_rng(1)
     p, sizes = rng.uniform(0.3, 0.7, 64), []
