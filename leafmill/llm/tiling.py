@@ -169,7 +169,7 @@ class Items:
             if not len(at):
                 continue
             own = running(doc, size)[at]
-            hit = np.isin(own, hashes)
+            hit = hashes[np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)] == own
             at, own = at[hit], own[hit]
             if not len(at):
                 continue
