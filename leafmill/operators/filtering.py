@@ -6,7 +6,7 @@ source's field names), and optionally page_header, page_footer, document_metadat
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import not_blank, stripped
@@ -83,34 +83,67 @@ def counts(elements: DataFrame) -> DataFrame:
     return found.withColumn("dropped_percent", F.round((F.col("total_elements") - F.col("filtered_elements")) * 100.0 / F.col("total_elements"), 6))
 
 
-def sizes(elements: DataFrame) -> DataFrame:
-    """Bytes of compact JSON before and after, by document, and the reduction in percent (0 if there was nothing).
+def json_text_size(text: Column, ascii_only: bool) -> Column:
+    """The length of a string in JSON with its quotes: in bytes, or in characters if all but ASCII is escaped."""
+    count = lambda expression: F.regexp_count(text, F.lit(expression))
+    own = F.length(text) + 5 * count(r"[^\x00-\x7e]") + 6 * count(r"[\x{10000}-\x{10ffff}]") if ascii_only else F.octet_length(text)
+    return own + count(r'["\\\x08\f\n\r\t]') + 5 * count(r"[\x00-\x07\x0b\x0e-\x1f]") + 2
 
-    Sizes are of UTF-8 JSON without nulls, not of a particular library's spacing.
-    """
+
+def json_size(elements: DataFrame, fields: list[str], ascii_only: bool = False) -> Column:
+    """The length of a JSON object of the fields that are not null; with ascii_only as Python writes it, spaces included."""
+    gap = 2 if ascii_only else 1
+    kinds = dict(elements.dtypes)
+    value = lambda c: json_text_size(F.col(c), ascii_only) if kinds[c] == "string" else F.length(F.col(c).cast("string"))
+    parts = [F.when(F.col(c).isNotNull(), value(c) + len(c) + 2 + gap + gap).otherwise(F.lit(0)) for c in fields]
+    inside = sum(parts[1:], parts[0])
+    return F.lit(2) + F.greatest(inside - gap, F.lit(0))
+
+
+def sizes(elements: DataFrame) -> DataFrame:
+    """By document: bytes of compact JSON lines before and after, the reduction in percent (0 if there was nothing), and
+    json_bytes, the length before as Python's json.dumps writes a list (spaces after separators, ASCII escapes)."""
     plain = [c for c in ("id", "content", "role", "element_type", "page_number") if c in elements.columns]
     stays = not_blank(F.col("content")) & (F.coalesce(F.col("id"), F.lit("")) != "")
-    whole, short = F.octet_length(F.to_json(F.struct(*plain))) + 1, F.octet_length(F.to_json(F.struct("id", "content", "page_number"))) + 1
-    found = elements.groupBy("doc_id").agg(F.sum(whole).alias("original_bytes"), F.coalesce(F.sum(F.when(stays, short)), F.lit(0)).alias("filtered_bytes"))
+    whole, short = json_size(elements, plain) + 1, json_size(elements, ["id", "content", "page_number"]) + 1
+    found = elements.groupBy("doc_id").agg(
+        F.sum(whole).cast("long").alias("original_bytes"),
+        F.coalesce(F.sum(F.when(stays, short)), F.lit(0)).cast("long").alias("filtered_bytes"),
+        F.sum(json_size(elements, plain, True) + 2).cast("long").alias("json_bytes"),
+    )
     return found.withColumn("reduction_percent", F.when(F.col("original_bytes") == 0, 0.0).otherwise((F.col("original_bytes") - F.col("filtered_bytes")) * 100.0 / F.col("original_bytes")))
 
 
-def python_json_size(elements: DataFrame) -> DataFrame:
-    """As `sizes`, of JSON as Python's json.dumps writes it (spaces after separators, ASCII escapes), summed by document."""
-    import json
-    from collections.abc import Iterator
-
-    import pandas as pd
+def raw_elements(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, seq, raw: an element's JSON object) with `fields`, its values by key as they stand; not an object: null."""
+    return rows.withColumn("fields", F.from_json("raw", "map<string,string>"))
 
-    plain = [c for c in ("id", "content", "role", "element_type", "page_number") if c in elements.columns]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            size = [len(json.dumps({k: (v.item() if hasattr(v, "item") else v) for k, v in r.items() if v is not None and v == v})) + 2 for r in f[plain].to_dict("records")]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "json_bytes": size})
+def filter_raw(rows: DataFrame, config: FilterConfig) -> DataFrame:
+    """Filtering of elements as raw JSON, so that keys outside any schema pass: doc_id, filtered_index, element_id, fields.
 
-    kind = elements.schema["doc_id"].dataType.simpleString()
-    return elements.select("doc_id", *plain).mapInPandas(run, f"doc_id {kind}, json_bytes long").groupBy("doc_id").agg(F.sum("json_bytes").alias("json_bytes"))
+    rows: doc_id, seq, raw, and parent_section. A key that is there counts even if its value is null: the id is `_id`, else
+    `id`; the page `pageNumber`, else `page_number`; the type `elementType`, else `role`, else `type`. `*` passes all keys.
+    Elements without content or without id are dropped.
+    """
+    held = raw_elements(rows)
+    f = F.col("fields")
+    first = lambda *names: F.coalesce(F.get(F.filter(F.array(*[F.struct(F.map_contains_key(f, n).alias("there"), f[n].alias("v")) for n in names]), lambda x: x["there"]), F.lit(0))["v"], F.lit(None).cast("string"))
+    element_id = first("_id", "id")
+    kept = held.where(f.isNotNull() & not_blank(f["content"])).withColumn("element_id", element_id).where(F.coalesce("element_id", F.lit("")) != "")
+    index = (F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")) - 1).cast("long")
+    fields = config.resolved()
+    entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    if "*" in fields:
+        own = F.when(~F.map_contains_key(f, "_id") & F.lit(config.include_element_ids), F.array(entry("_id", F.col("element_id")))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
+        out = F.concat(F.map_entries(f), own)
+    else:
+        special = {"_id": F.col("element_id") if config.include_element_ids else None, "pageNumber": first("pageNumber", "page_number"), "elementType": first("elementType", "role", "type"), "parentSection": F.col("parent_section"), "elementIndex": F.col("seq").cast("string")}
+        entries = [entry(n, special.get(n, f[n])) for n in fields if special.get(n, n) is not None]
+        some = F.filter(F.array(*entries), lambda x: F.coalesce(x["value"], F.lit("")) != "")
+        content = F.array(entry("content", stripped(f["content"])))
+        out = F.when((F.size(some) > 0) & ~F.exists(some, lambda x: x["key"] == "content"), F.concat(some, content)).otherwise(some)
+    return kept.select("doc_id", index.alias("filtered_index"), "element_id", F.map_from_entries(out).alias("fields"))
 
 
 def excluded_fields(elements: DataFrame, config: FilterConfig) -> DataFrame:

@@ -16,9 +16,11 @@ def check_limits(least: int, most: int) -> None:
         raise ValueError("limits are positive, the least below the most")
 
 
-def number_segments(elements: DataFrame, least: int, most: int, rule: str, key: str = "doc_id") -> DataFrame:
+def number_segments(elements: DataFrame, least: int, most: int, rule: str, key: str = "doc_id", skip_faulty: bool = False) -> DataFrame:
     """elements with segment_id; they have key, seq, tokens and level.
 
+    Elements whose tokens could not be counted (null) count 0, or with skip_faulty are left out and change nothing.
+
     rule "rich": a segment of at least `least` tokens ends before a heading of level 1 or 2, or before what takes it over
     `most`; numbers begin at 1. rule "filtered": it ends before what takes it over `most`, whatever it holds, or, of at
     least `least` tokens, before such a heading; numbers begin at 0.
@@ -30,6 +32,8 @@ def number_segments(elements: DataFrame, least: int, most: int, rule: str, key:
     if rule not in ("rich", "filtered"):
         raise ValueError("rule is rich or filtered")
     small_arrow_batches(elements.sparkSession)
+    if skip_faulty:
+        elements = elements.where("tokens is not null")
     rich = rule == "rich"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

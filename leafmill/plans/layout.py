@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.ids import cell_id, element_id, pair_content
 from leafmill.functions.text import not_blank, occurrences, similarity
-from leafmill.operators import compare, headings, stitch, unnest
+from leafmill.operators import compare, headings, identity, stitch, unnest
 from leafmill.plans.inputs import BATCHES, BLANK_SAFE, HEADING_LEVEL, LITERAL_LEVEL, PARAGRAPHS, PARENT, batch_table, batches_of, heads_sql, paragraphs
 from leafmill.session import table
+from leafmill.sources import fixtures, layout, markup
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -289,3 +290,88 @@ SELECT doc_id, count(*) AS paragraphs, count(*) FILTER (role IS NOT NULL) AS hea
 """)
 def extraction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.count("role").alias("headings"), F.count_distinct("page_number").alias("pages"), F.sum("span_length").alias("characters"))
+
+
+@query("stitch_regions", f"""
+WITH {PARAGRAPHS}, {BATCHES}, given AS (
+  SELECT doc_id, batch_no, first_page, last_page, CASE WHEN (doc_id + batch_no) % 3 = 0 THEN batch_no * 2 + doc_id % 2 END AS given FROM batch
+), walked AS (
+  SELECT doc_id, batch_no, CAST(coalesce(given, 0) AS BIGINT) AS o, last_page + coalesce(given, 0) AS top FROM given WHERE batch_no = 0
+  UNION ALL
+  SELECT g.doc_id, g.batch_no, CAST(coalesce(g.given, w.top + 1 - g.first_page) AS BIGINT), g.last_page + coalesce(g.given, w.top + 1 - g.first_page) FROM walked w JOIN given g ON g.doc_id = w.doc_id AND g.batch_no = w.batch_no + 1
+)
+SELECT doc_id, seq, page_number + o AS page_number, page_number + o AS region_page, page_number + o + 1 AS next_region_page FROM parts JOIN walked USING (doc_id, batch_no)
+""".replace("WITH", "WITH RECURSIVE", 1))
+def stitch_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stitching with the page offsets of some batches given; regions move with their elements."""
+    parts = batches_of(paragraphs(spark, sf_dir))
+    given = F.when(F.pmod(F.col("doc_id") + F.col("batch_no"), F.lit(3)) == 0, F.col("batch_no") * 2 + F.pmod("doc_id", F.lit(2)))
+    region = lambda p: F.struct(p.cast("int").alias("pageNumber"))
+    parts = parts.withColumn("regions", F.array(region(F.col("page_number")), region(F.col("page_number") + 1)))
+    done = stitch.stitch(parts, batch_table(parts).withColumn("given_offset", given))
+    return done.select("doc_id", "seq", "page_number", F.col("regions")[0]["pageNumber"].cast("long").alias("region_page"), F.col("regions")[1]["pageNumber"].cast("long").alias("next_region_page"))
+
+
+# JSON of a batch, and its faults.
+BATCH_SHAPES = (
+    ('{"content": "a", "pages": [{"pageNumber": 1}, {"pageNumber": 2, "words": []}]}', ()),
+    ('{"pages": [{"pageNumber": 1}]}', ("content is missing",)),
+    ('{"content": 5, "pages": []}', ("content is not a string",)),
+    ('{"content": null, "pages": [{"pageNumber": 0}, {}]}', ("content is not a string", "page 0 has a pageNumber that is not a positive integer", "page 1 has no pageNumber")),
+    ('{"content": "a"}', ("pages are missing",)),
+    ('{"content": "a", "pages": {"pageNumber": 1}}', ("pages are not a list",)),
+    ('{"content": "a", "pages": [3, {"pageNumber": "1"}, {"pageNumber": 1.5}, {"pageNumber": 7}]}', ("page 0 is not an object", "page 1 has a pageNumber that is not a positive integer", "page 2 has a pageNumber that is not a positive integer")),
+    ("[1]", ("not an object",)),
+    ("not json", ("not an object",)),
+)
+
+
+@query("batch_json_faults", " UNION ALL ".join(f"SELECT o_orderkey AS batch_no, '{f}' AS fault FROM orders WHERE o_orderkey % {len(BATCH_SHAPES)} = {k}" for k, (_, faults) in enumerate(BATCH_SHAPES) for f in faults))
+def batch_json_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of batches as JSON, by the types of what they hold."""
+    k = F.col("o_orderkey")
+    raw = F.element_at(F.array(*[F.lit(s) for s, _ in BATCH_SHAPES]), (F.pmod(k, F.lit(len(BATCH_SHAPES))) + 1).cast("int"))
+    return stitch.json_faults(table(spark, sf_dir, "orders").select(k.alias("batch_no"), raw.alias("raw"))).select("batch_no", "fault")
+
+
+_TAGS = "h[1-6]|p|li|tr|div|article|section|blockquote|pre|table|ul|ol"
+_ENTITIES = "clean"
+for _name, _c in markup.ENTITIES.items():
+    _ENTITIES = f"replace({_ENTITIES}, '{_name}', '{_c.replace(chr(39), chr(39) * 2)}')"
+
+
+@query("html_elements", f"""
+WITH cut AS (SELECT page_id AS doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(replace(html, chr(30), ' '), '{markup.HIDDEN}', '', 'g'), '(?i)(<(?:{_TAGS})\\b)', chr(30) || '\\1', 'g'), '(?i)</(?:{_TAGS})\\s*>', chr(30), 'g'), chr(30)) AS b FROM pages
+), blocks AS (SELECT doc_id, unnest(b) AS block, CAST(unnest(range(len(b))) AS BIGINT) AS seq FROM cut
+), tagged AS (SELECT doc_id, seq, lower(regexp_extract(block, '^<([A-Za-z][A-Za-z0-9]*)', 1)) AS tag, regexp_replace(regexp_replace(block, '(?i)<br\\b[^>]*>|</t[dh]\\s*>', ' ', 'g'), '<[^>]*>', '', 'g') AS clean FROM blocks
+), done AS (SELECT doc_id, seq, CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN 'heading' WHEN tag = 'li' THEN 'list' WHEN tag = 'tr' THEN 'table' ELSE 'paragraph' END AS kind,
+  CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN CAST(substr(tag, 2, 1) AS INTEGER) END AS level, trim(regexp_replace({_ENTITIES}, '\\s+', ' ', 'g')) AS content FROM tagged)
+SELECT doc_id, seq, kind, level, content FROM done WHERE content <> ''
+""")
+def html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of web pages."""
+    return markup.html_elements(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html"))
+
+
+@query("local_statistics", """
+SELECT s_suppkey AS doc_id, CAST(s_suppkey % 3 + 1 AS INTEGER) AS pages, CAST(s_suppkey % 3 + 1 AS INTEGER) AS text, CAST(s_suppkey % 3 + 1 AS INTEGER) AS "table", 0 AS list, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS figure, 1 AS heading, 2 AS paragraph FROM supplier
+""")
+def local_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What locally extracted documents list, by type."""
+    k = F.col("s_suppkey")
+    parts = lambda *types: F.array(*[F.struct(F.lit(t).alias("type")) for t in types])
+    page = F.struct(parts("text", "table", "unheard of").alias("elements"))
+    pages = F.map_from_entries(F.transform(F.sequence(F.lit(1).cast("long"), k % 3 + 1), lambda i: F.struct(i.cast("string").alias("key"), page.alias("value"))))
+    top = lambda t, head=None: F.struct(F.lit(t).alias("type"), F.lit(head).cast("boolean").alias("is_heading"))
+    elements = F.create_map(F.lit("#/0"), top("text", True), F.lit("#/1"), top("text", False), F.lit("#/2"), top("text"), F.lit("#/3"), F.when(k % 2 == 0, top("figure")).otherwise(top("rule")))
+    raw = F.to_json(F.struct(F.struct(pages.alias("pages"), elements.alias("elements")).alias("docling_document")))
+    return markup.local_statistics(table(spark, sf_dir, "supplier").select(k.alias("doc_id"), raw.alias("raw")))
+
+
+@query("built_documents", f"WITH {PARAGRAPHS} SELECT doc_id, CAST(seq AS VARCHAR) AS place, id, span_offset, content FROM para")
+def built_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layout JSON built from paragraphs, read again: identifiers as the builder gave them equal those that are assigned."""
+    docs = layout.parse(fixtures.layout_documents(paragraphs(spark, sf_dir)))
+    ids = identity.assign_ids(docs, "doc_id").where("kind = 'paragraphs'").select("doc_id", "place", "id")
+    parts = docs.select("doc_id", F.posexplode("doc.paragraphs").alias("at", "e")).select("doc_id", F.col("at").cast("string").alias("place"), F.col("e._id").alias("id"), F.col("e.spans")[0]["offset"].cast("long").alias("span_offset"), "e.content")
+    return ids.join(parts, ["doc_id", "place", "id"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 SPAN = "struct<offset:int,length:int>"
 REGIONS = "array<struct<pageNumber:int,polygon:array<double>>>"
-TEXT = f"_id:string,content:string,role:string,pageNumber:int,spans:array<{SPAN}>,span:{SPAN},boundingRegions:{REGIONS}"
+TEXT = f"_id:string,id:string,page_number:int,content:string,role:string,pageNumber:int,spans:array<{SPAN}>,span:{SPAN},boundingRegions:{REGIONS}"
 CELL = "struct<_id:string,kind:string,rowIndex:int,columnIndex:int,content:string>"
 TABLE = f"{TEXT},rowCount:int,columnCount:int,cells:array<{CELL}>"
 SIDE = f"struct<content:string,boundingRegions:{REGIONS}>"
@@ -50,8 +50,8 @@ def elements(documents: DataFrame, key: str = "source_file") -> DataFrame:
         spans = F.try_element_at(e["spans"], F.lit(1))["offset"] if "spans" in names else F.lit(None).cast("int")
         content = e["value"] if kind == "formulas" else get("content") if kind != "keyValuePairs" else F.lit(None).cast("string")
         value = rows.select(
-            "doc_id", F.lit(scope).alias("scope"), F.lit(kind).alias("kind"), "page_idx", "page_number", get("pageNumber", "int").alias("own_page"), region.alias("region_page"),
-            "arr_idx", get("_id").alias("id"), get("role").alias("role"), content.alias("content"), F.coalesce(spans, e["span"]["offset"] if "span" in names else F.lit(None).cast("int"), F.lit(0)).alias("offset"),
+            "doc_id", F.lit(scope).alias("scope"), F.lit(kind).alias("kind"), "page_idx", "page_number", F.coalesce(get("pageNumber", "int"), get("page_number", "int")).alias("own_page"), region.alias("region_page"),
+            "arr_idx", F.coalesce(get("_id"), get("id")).alias("id"), get("role").alias("role"), content.alias("content"), F.coalesce(spans, e["span"]["offset"] if "span" in names else F.lit(None).cast("int"), F.lit(0)).alias("offset"),
             raw_keys(place).alias("keys"),
         )
         out = value if out is None else out.unionByName(value)
@@ -77,6 +77,26 @@ def structure_flags(documents: DataFrame) -> DataFrame:
     return documents.withColumn("keys", F.array_join(F.array_sort(F.expr("json_object_keys(raw)")), ","))
 
 
+def page_counts(files: DataFrame, counter, key: str = "path") -> DataFrame:
+    """key and n_pages of files (key, body) through a caller's counter: a function of a file's bytes (a PDF reader, say).
+
+    Bytes that it can't read (it raises ValueError) have null pages.
+    """
+    import pandas as pd
+
+    def run(frames):
+        for f in frames:
+            found = []
+            for body in f["body"]:
+                try:
+                    found.append(counter(body))
+                except ValueError:
+                    found.append(None)
+            yield pd.DataFrame({key: f[key], "n_pages": pd.array(found, dtype="Int64")})
+
+    return files.select(key, "body").mapInPandas(run, f"{key} {files.schema[key].dataType.simpleString()}, n_pages long")
+
+
 def extract(ranges: DataFrame, extractor, schema: str) -> DataFrame:
     """Page ranges through a caller's extractor: a function of an iterator of pandas frames (a layout or OCR service)."""
     return ranges.mapInPandas(extractor, schema)

@@ -50,6 +50,10 @@ def test_anonymized_documents(spark):
     assert d["_id"] == DOC["_id"] and d["n"] == 1.5 and list(d) == list(DOC)
     assert d["content"] == "write to " + held["ann@example.com"] and d["nested"] == [[held["bob@example.com"]], {"a/b~c": held["bob@example.com"]}]
     assert d["keyValuePairs"][0]["value"]["content"] == held["123-45-6789"]
+    twice = spark.createDataFrame([(1, '{"content": "ann@example.com"}'), (1, '{"content": "ann@example.com"}'), (1, '{"content": "bob@example.com", "t": "ann@example.com"}'), (None, '{"content": "bob@example.com"}')], "doc_id long, raw string")
+    again, _ = documents.anonymize_documents(twice, wanted, "salt", 3)
+    a, b = held["ann@example.com"], held["bob@example.com"]
+    assert sorted(json.loads(r["raw"])["content"] for r in again.collect()) == sorted([a, a, b, b])
     only, _ = documents.anonymize_documents(docs, wanted, "salt", 3, all_strings=False)
     text = next(r["raw"] for r in only.collect() if r["doc_id"] == 1)
     assert "ann@" not in text

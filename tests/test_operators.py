@@ -11,9 +11,9 @@ from leafmill.functions import dates, patterns
 from leafmill.functions.entities import infer_entity_type
 from leafmill.functions.ids import element_id, region_page
 from leafmill.functions.text import lossy_utf8, not_blank, occurrences, similarity, stripped
-from leafmill.model import FilterConfig
-from leafmill.operators import compare, filtering, headings, privacy, prompt, segment, stitch, unnest
-from leafmill.sources import layout
+from leafmill.model import AnonymizationConfig, FilterConfig
+from leafmill.operators import anonymize, compare, filtering, headings, privacy, prompt, segment, stitch, unnest
+from leafmill.sources import layout, markup
 
 
 def test_stitch_is_the_sequential_rule(spark):
@@ -121,12 +121,12 @@ def test_restoration_goes_by_length(spark):
 
 
 def test_surrogates_keep_formats(spark):
-    rows = [("BATES_NUMBER", "ABC_001234"), ("BATES_NUMBER", "001234"), ("CASE_NUMBER", "1:23-cv-45678"), ("CASE_NUMBER", "2024-CR-00156"), ("MEDICAL_RECORD_NUMBER", "MRN: 0012345"), ("OTHER_THING", "x1")]
+    rows = [("BATES_NUMBER", "ABC_001234"), ("BATES_NUMBER", "001234"), ("CASE_NUMBER", "7:98-ab-13579"), ("CASE_NUMBER", "1987-ZZ-24680"), ("MEDICAL_RECORD_NUMBER", "MRN: 0012345"), ("OTHER_THING", "x1")]
     df = spark.createDataFrame(rows, "kind string, original string")
     got = {r["original"]: r["s"] for r in df.select("original", privacy.format_preserving(F.col("kind"), F.col("original"), "salt").alias("s")).collect()}
     import re
 
-    for original, shape in (("ABC_001234", r"ABC_[1-9]\d{5}"), ("001234", r"\[REDACTED_BATES_NUMBER\]"), ("1:23-cv-45678", r"[1-9]:2[0-4]-cv-\d{5}"), ("2024-CR-00156", r"202[0-4]-CR-\d{5}"), ("MRN: 0012345", r"MRN: [1-9]\d{6}"), ("x1", r"\[REDACTED_OTHER_THING\]")):
+    for original, shape in (("ABC_001234", r"ABC_[1-9]\d{5}"), ("001234", r"\[REDACTED_BATES_NUMBER\]"), ("7:98-ab-13579", r"[1-9]:2[0-4]-ab-\d{5}"), ("1987-ZZ-24680", r"202[0-4]-ZZ-\d{5}"), ("MRN: 0012345", r"MRN: [1-9]\d{6}"), ("x1", r"\[REDACTED_OTHER_THING\]")):
         assert re.fullmatch(shape, got[original]), (original, got[original])
 
 
@@ -199,3 +199,115 @@ def test_unknown_preset_lets_all_through(spark):
 def test_differences_ignore_ids(spark):
     a = spark.createDataFrame([(1, "a", "i"), (2, "b", "i")], "k long, v string, id string")
     assert compare.differences(a, a.withColumn("id", F.lit("j"))).count() == 0
+
+
+def test_dates_in_words(spark):
+    cases = {
+        "Jan 5, 2024": (2024, 1, 5), "5 January 2024": (2024, 1, 5), "January 5 2024": (2024, 1, 5), "2024/01/05": (2024, 1, 5), "2024-1-5": (2024, 1, 5), "01-05-2024": (2024, 1, 5),
+        "1/5/24": (2024, 1, 5), "25/12/1999": (1999, 12, 25), "seen on the 3rd of Mar. 1987, twice": (1987, 3, 3), "1.2.70": (1970, 1, 2), "Feb 30, 2024": None, "2024-13-40": None, "": None, "may be": None, "1:30 pm": None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r["t"]: r["d"] for r in df.select("t", dates.parsed(F.col("t")).alias("d")).collect()}
+    assert {k: v and (v.year, v.month, v.day) for k, v in got.items()} == cases
+    assert one(spark, dates.rendered(F.lit("Jan 5, 2024 12:30 am"), dates.shifted(F.lit("Jan 5, 2024 12:30 am"), F.lit(1))))[0] == "January 06, 2024 at 12:30 AM"
+
+
+def test_vault_keeps_what_is_known(spark):
+    found = spark.createDataFrame([(1, "CUSTOM", "a"), (1, "CUSTOM", "b"), (2, "US_SSN", "1")], "text_id long, entity_type string, original string")
+    first = {r["original"]: r["placeholder"] for r in privacy.build_vault(found, "s", 5).collect()}
+    more = found.union(spark.createDataFrame([(3, "CUSTOM", "0")], found.schema))
+    assert {r["original"]: r["placeholder"] for r in privacy.build_vault(more, "s", 5).collect()} == first | {"0": next(r["placeholder"] for r in privacy.build_vault(more, "s", 5).collect() if r["original"] == "0")}
+    known = spark.createDataFrame([("a", "kept"), ("other", first["1"])], "original string, placeholder string")
+    again = {r["original"]: r["placeholder"] for r in privacy.build_vault(found, "s", 5, known).collect()}
+    assert again["a"] == "kept" and again["b"] == first["b"] and again["1"].startswith(first["1"] + "~")
+
+
+def test_replacing_leaves_replacements_alone(spark):
+    texts = spark.createDataFrame([(1, "\ue0000\ue001 cat 0 concat \\E a.c"), (2, "cat"), (3, None)], "text_id long, text string")
+    found = spark.createDataFrame([(1, "T", x) for x in ("cat", "0", "\\E", "a.c")] + [(2, "T", "cat")], "text_id long, entity_type string, original string")
+    vault = spark.createDataFrame([("T", "cat", "0$1"), ("T", "0", "cat"), ("T", "\\E", "[cat]"), ("T", "a.c", "dot")], "entity_type string, original string, placeholder string")
+    got = {r["text_id"]: r["text"] for r in privacy.pseudonymize(texts, found, vault).collect()}
+    assert got == {1: "\ue000cat\ue001 0$1 cat con0$1 [cat] dot", 2: "0$1", 3: None}
+
+
+def test_sessions_keep_their_state(spark):
+    config = AnonymizationConfig(entity_types=("EMAIL_ADDRESS", "DATE_TIME"), date_shift_days=30, pattern_sets=("legal",), custom_patterns=({"name": "CODE", "expressions": [r"\b(X\d+)\b"]},))
+    assert [p.name for p in anonymize.detectors(config)] == ["DATE_TIME", "EMAIL_ADDRESS", "BATES_NUMBER", "CASE_NUMBER", "COURT_FILING", "CODE"]
+    texts = spark.createDataFrame([(1, "ann@example.com on 2024-01-05, X12"), (2, None), (3, "plain")], "text_id long, text string")
+    first = anonymize.anonymize_texts(texts, config, "salt")
+    rows = {r["text_id"]: r["text"] for r in first.rows.collect()}
+    assert rows[2] is None and rows[3] == "plain" and "ann@" not in rows[1] and "X12" not in rows[1] and "2024-01-05" not in rows[1]
+    assert {r["entity_type"]: r["n"] for r in first.statistics.collect()} == {"EMAIL_ADDRESS": 1, "DATE_TIME": 1, "CODE": 1}
+    data = anonymize.write_state(first).first()["vault"]
+    assert data[0] == ["_date_offset", str(first.days)] and len(data) == 4
+    known, offset = anonymize.read_state(spark, data)
+    again = anonymize.anonymize_texts(texts, config, "another salt", known, offset)
+    assert {r["text_id"]: r["text"] for r in again.rows.collect()} == rows and anonymize.read_state(spark, None) == (None, None)
+    assert sorted(anonymize.write_state(again, known).first()["vault"]) == sorted(data)
+    docs = spark.createDataFrame([("d", json.dumps({"content": "ann@example.com"}))], "doc_id string, raw string")
+    held = {r["original"]: r["placeholder"] for r in known.collect()}
+    assert json.loads(anonymize.anonymize_json(docs, config, "z", known, offset).rows.first()["raw"])["content"] == held["ann@example.com"]
+    merged = anonymize.merge_statistics(first.statistics, again.statistics)
+    assert {r["entity_type"]: r["n"] for r in merged.collect()} == {"EMAIL_ADDRESS": 2, "DATE_TIME": 2, "CODE": 2}
+
+
+def test_json_sizes_are_those_of_python(spark):
+    texts = ["plain", 'quo"te\\ back', "tab\t nl\n \x01 \x0b \x1f \x7f", "äöü € 漢 😀", ""]
+    rows = [(k, f"i{k}" if k % 2 else None, t, None, k * 100) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, id string, content string, role string, page_number long")
+    got = {r["doc_id"]: (r["original_bytes"], r["json_bytes"]) for r in filtering.sizes(df).collect()}
+    for k, i, t, _, n in rows:
+        held = {c: v for c, v in (("id", i), ("content", t), ("page_number", n)) if v is not None}
+        assert got[k] == (len(json.dumps(held, ensure_ascii=False, separators=(",", ":")).encode()) + 1, len(json.dumps(held)) + 2)
+
+
+def test_faulty_elements_are_skipped(spark):
+    df = spark.createDataFrame([(1, 0, 5, None), (1, 1, None, 1), (1, 2, 30, None), (1, 3, 30, None)], "doc_id long, seq long, tokens long, level int")
+    cut = segment.number_segments(df, 20, 45, "rich", skip_faulty=True).collect()
+    assert sorted((r["seq"], r["segment_id"]) for r in cut) == [(0, 1), (2, 1), (3, 2)]
+
+
+def test_strict_batches(spark):
+    ok = spark.createDataFrame([(1, '{"content": "", "pages": []}')], "batch_no long, raw string")
+    assert stitch.require_valid(ok).count() == 1
+    with pytest.raises(ValueError, match="pages are missing"):
+        stitch.require_valid(ok.withColumn("raw", F.lit('{"content": "x"}')))
+
+
+def test_sources(spark, tmp_path):
+    files = spark.createDataFrame([("a.html", "<html><head><title>t</title></head><body><h2>Head &amp; <b>more</b></h2><p>one<br>two<ul><li>x</li><li> </li></ul><table><tr><td>a</td><td>b</td></tr></table><!-- <p>no</p> --></body></html>"), ("b.md", "# Head #\ntext of\none paragraph\n\n* item\n1. first\n\n| a | b |\n|---|---|\n| 1 | 2 |\n"), ("c.txt", "one\r\n\n two  words"), ("d.md", None)], "path string, text string")
+    got = sorted((r["doc_id"], r["seq"], r["kind"], r["level"], r["content"]) for r in markup.read_markup(files).collect())
+    assert [(d, k, n, c) for d, _, k, n, c in got] == [
+        ("a.html", "heading", 2, "Head & more"), ("a.html", "paragraph", None, "one two"), ("a.html", "list", None, "x"), ("a.html", "table", None, "a b"),
+        ("b.md", "heading", 1, "Head"), ("b.md", "paragraph", None, "text of one paragraph"), ("b.md", "list", None, "item"), ("b.md", "list", None, "first"), ("b.md", "table", None, "a b"), ("b.md", "table", None, "1 2"),
+        ("c.txt", "paragraph", None, "one"), ("c.txt", "paragraph", None, "two words"),
+    ]
+    counted = {r["doc_id"]: (r["headings"], r["paragraphs"], r["lists"], r["tables"]) for r in markup.element_statistics(markup.read_markup(files)).collect()}
+    assert counted["b.md"] == (1, 1, 2, 2)
+
+    def pages(body):
+        if not body.startswith(b"%"):
+            raise ValueError
+        return body.count(b"p")
+
+    bodies = spark.createDataFrame([("x", bytearray(b"%pp")), ("y", bytearray(b"no"))], "path string, body binary")
+    held = layout.page_counts(bodies, pages)
+    assert {r["path"]: r["n_pages"] for r in held.collect()} == {"x": 2, "y": None}
+    ranges = stitch.page_ranges(held, "n_pages", 1, "path")
+
+    def extractor(frames):
+        for f in frames:
+            yield f.assign(raw="{}")[["path", "first_page", "raw"]]
+
+    out = layout.extract(ranges, extractor, "path string, first_page long, raw string")
+    layout.write_json(out, str(tmp_path / "out"), ["path"])
+    assert sorted((r["path"], r["first_page"]) for r in spark.read.json(str(tmp_path / "out")).collect()) == [("x", 1), ("x", 2)]
+
+
+def test_raw_elements_by_key(spark):
+    rows = [(1, 0, '{"_id": null, "id": "a", "content": "x"}', None), (1, 1, '{"id": "a", "content": " x ", "page_number": 3, "odd": {"k": [1]}}', "S"), (1, 2, "[1]", None), (1, 3, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, seq long, raw string, parent_section string")
+    got = [(r["filtered_index"], r["element_id"], r["fields"]) for r in filtering.filter_raw(df, FilterConfig("no_filter")).collect()]
+    assert got == [(0, "a", {"id": "a", "content": " x ", "page_number": "3", "odd": '{"k":[1]}', "_id": "a"})]
+    got = [r["fields"] for r in filtering.filter_raw(df, FilterConfig("x", ("pageNumber", "parentSection"), False)).collect()]
+    assert got == [{"pageNumber": "3", "parentSection": "S", "content": "x"}]
