@@ -5,7 +5,11 @@ delete takes away, a revised count takes the old one away and adds the new one.
 before the shuffle, so a hot source is a row per task) and committed as a small table of its own, named by the batch.
 A batch counts once its _SUCCESS marker stands; committing a batch that stands does nothing, and one that was cut short
 is written anew, so batches can be sent again. `compact` sums committed batches into a snapshot with the list of what it
-holds, written before its own marker; totals read the newest snapshot and the batches that it lacks.
+holds, written before its own marker; totals read the newest snapshot and the batches that it lacks. A compaction removes
+the batches that the snapshot before it held already, so whoever reads while one runs still finds what it has listed. One
+process commits or compacts at a time; two that commit the same batch at once may both write it, and the last one counts.
+
+Counts of a tokenizer version are a caller's column (`n_tokens` of `bpe.encode`, say), or by one of PATTERNS.
 
 Defined results: null text has no tokens but is a document; null source, language or version are keys of their own;
 totals in which documents and tokens are both zero are left out; an empty batch is committed and changes nothing; rows
@@ -33,14 +37,19 @@ def token_count(text: Column, version: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(PATTERNS[version])), F.lit(0)).cast("long")
 
 
-def change(docs: DataFrame, sign: int, version: str) -> DataFrame:
-    """Signed rows (keys, docs, tokens) for inserts (1) or deletes (-1) of docs under a tokenizer version."""
-    return docs.select("source", "lang", F.lit(version).alias("tokenizer_version"), F.lit(sign).cast("long").alias("docs"), (sign * token_count(F.col("text"), version)).alias("tokens"))
+def change(docs: DataFrame, sign: int, version: str, tokens: Column | None = None) -> DataFrame:
+    """Signed rows (keys, docs, tokens) for inserts (1) or deletes (-1) of docs under a tokenizer version.
+
+    tokens: the documents' counts under that version, where it isn't one of PATTERNS; null counts 0.
+    """
+    n = token_count(F.col("text"), version) if tokens is None else F.coalesce(tokens, F.lit(0)).cast("long")
+    return docs.select("source", "lang", F.lit(version).alias("tokenizer_version"), F.lit(sign).cast("long").alias("docs"), (sign * n).alias("tokens"))
 
 
-def revise(docs: DataFrame, old: str, new: str) -> DataFrame:
-    """Signed rows that replace the counts of docs by those of another tokenizer version."""
-    both = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(s).cast("long").alias("s"), (s * token_count(F.col("text"), v)).alias("n")) for v, s in ((old, -1), (new, 1))])
+def revise(docs: DataFrame, old: str, new: str, counts: tuple[Column, Column] | None = None) -> DataFrame:
+    """Signed rows that replace the counts of docs by those of another tokenizer version; counts: under both, as above."""
+    n = [token_count(F.col("text"), v) for v in (old, new)] if counts is None else [F.coalesce(c, F.lit(0)).cast("long") for c in counts]
+    both = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(s).cast("long").alias("s"), (s * c).alias("n")) for v, s, c in ((old, -1, n[0]), (new, 1, n[1]))])
     return docs.select("source", "lang", F.explode(both).alias("c")).select("source", "lang", F.col("c.v").alias("tokenizer_version"), F.col("c.s").alias("docs"), F.col("c.n").alias("tokens"))
 
 
@@ -98,13 +107,14 @@ class Rollups:
         return self._sum(self._parts()[0])
 
     def compact(self) -> None:
-        """Sum what is committed into a new snapshot; batches it holds are then removed."""
+        """Sum what is committed into a new snapshot; batches that the snapshot before held are then removed."""
+        before = self._newest()
         frames, held = self._parts()
         name = f"{len(held):012d}-{uuid4().hex}"
         self._sum(frames).coalesce(1).write.parquet(f"{self.path}/snapshots/{name}")
         self.spark.createDataFrame([(n,) for n in sorted(held)], "batch string").coalesce(1).write.parquet(f"{self.path}/manifests/{name}")
         for n in self._names("batches"):
-            if n in held:
+            if before and n in before[1]:
                 self._fs.delete(self._Path(f"{self.path}/batches/{n}"), True)
 
 

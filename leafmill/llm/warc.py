@@ -5,7 +5,8 @@ canonical URL. `resolve` finds that response by an as-of join, checks the revisi
 if it has one, else its modification date) and merges the headers that a 304 may update into the stored ones.
 
 The as-of join is by windows in two steps, so that one URL with a third of all records is no single task: time is cut
-into slices; within a URL's slice the latest response so far is a window function, and the slices' last responses, at
+into slices, by quantiles of all records' times and evenly between two of these, so that a far-off time spoils no slice but
+its own (records of one URL and one time share a slice); within a URL's slice the latest response so far is a window function, and the slices' last responses, at
 most one row for each URL and slice, give what earlier slices leave.
 
 Defined results: a response counts if its status is 200 and its time before the revisit's; of equal times the largest
@@ -54,19 +55,31 @@ def merged(stored: Column, update: Column) -> Column:
     return F.map_concat(rest, new)
 
 
+def slice_of(held: DataFrame, slices: int) -> Column:
+    """The number of the slice of time that `ts` is in, which grows with it: between quantiles, and evenly within."""
+    asked = [k / slices for k in range(1, slices)]
+    span = held.agg(F.min("ts").alias("low"), F.max("ts").alias("high"), F.count("*").alias("n"), F.percentile_approx("ts", asked, 10 * slices).alias("q")).first()
+    edges = sorted({span["low"] or 0, *(span["q"] or [])})
+    parts = max(1, (span["n"] or 0) // (slices * 1_000_000))
+    widths = [max(1, -(-(high - low) // parts)) for low, high in zip(edges, [*edges[1:], (span["high"] or 0) + 1], strict=True)]
+    array = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+    begins, ts = array(edges), F.col("ts")
+    steps = [1 << k for k in range(len(edges).bit_length() - 1, -1, -1)]
+    place = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: at + F.when((at + s < len(edges)) & (F.get(begins, at + s) <= ts), s).otherwise(0))
+    return place.cast("long") * (parts + 1) + F.floor((ts - F.get(begins, place)) / F.get(array(widths), place))
+
+
 def resolve(records: DataFrame, slices: int = 256) -> DataFrame:
     """record_id, url, canonical_url, outcome, response_id and headers (merged; null unless resolved) of each revisit.
 
     records: record_id long, kind (response or revisit), url, ts long, status int, headers map.
     """
     held = records.select("record_id", "kind", "url", F.col("ts").cast("long"), "status", lowered(F.col("headers")).alias("headers"), canonical(F.col("url")).alias("canonical_url"))
-    span = held.agg(F.min("ts").alias("low"), F.max("ts").alias("high"), F.count("*").alias("n")).first()
-    low, count = span["low"] or 0, max(slices, (span["n"] or 0) // 1_000_000)
-    width = max(1, -(-((span["high"] or 0) - low + 1) // count))
+    at_slice = slice_of(held, slices)
     full = (F.col("kind") == "response") & (F.col("status") == 200) & F.col("ts").isNotNull() & F.col("canonical_url").isNotNull()
     revisit = F.col("kind") == "revisit"
     found = F.when(full, F.struct(F.col("record_id").alias("id"), "headers"))
-    timed = held.where(full | revisit).select("*", found.alias("response"), F.floor((F.col("ts") - low) / width).alias("slice"))
+    timed = held.where(full | revisit).select("*", found.alias("response"), at_slice.alias("slice"))
     by_time = Window.partitionBy("canonical_url", "slice").orderBy("ts", revisit.cast("int").desc(), "record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = timed.withColumn("here", F.last("response", ignorenulls=True).over(by_time)).where(revisit)
     ends = timed.groupBy("canonical_url", "slice").agg(F.max_by("response", F.when(full, F.struct("ts", "record_id"))).alias("last"))

@@ -1,10 +1,14 @@
 """Rollups: sums of deltas, batches sent again, batches cut short, compaction."""
 
 import shutil
+from collections import Counter
 
 import oracle
+import public_tokenizers
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from leafmill.llm import rollups
+from leafmill.llm import bpe, rollups
 
 SCHEMA = "doc_id long, source string, lang string, text string, docs int"
 
@@ -50,3 +54,31 @@ def test_compaction_and_recovery(spark, tmp_path):
 
 def test_query_equals_sql(spark, sf):
     assert oracle.by_spark(rollups.query(spark, sf)) == oracle.by_sql(rollups.SQL, sf)
+
+
+def test_real_tokenizers(spark, tmp_path, sf):
+    """Counts under two public vocabularies' versions, against the library's."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    encoded = bpe.encode(docs, path, keys=("doc_id", "source", "lang")).withColumn("words", F.lit(7)).checkpoint()
+    store = rollups.Rollups(spark, str(tmp_path / "r"))
+    store.commit("all", rollups.change(encoded, 1, "bpe-49k", F.col("n_tokens")))
+    store.commit("recount", rollups.revise(encoded.where("doc_id % 3 = 0"), "bpe-49k", "sevens", (F.col("n_tokens"), F.col("words"))))
+    store.commit("gone", rollups.change(encoded.where("doc_id % 3 = 1"), -1, "bpe-49k", F.col("n_tokens")))
+    library, expected = Tokenizer.from_file(path), Counter()
+    for r in docs.collect():
+        if r["doc_id"] % 3 != 1:
+            key = (r["source"], r["lang"], "sevens" if r["doc_id"] % 3 == 0 else "bpe-49k")
+            expected[key] += 7 if r["doc_id"] % 3 == 0 else len(library.encode(r["text"] or "", add_special_tokens=False).ids)
+    assert {tuple(r)[:3]: r["tokens"] for r in store.totals().collect()} == dict(expected)
+
+
+def test_a_reader_finds_what_it_listed_before_a_compaction(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "s", "en", "a b", 0)], SCHEMA)
+    store = rollups.Rollups(spark, str(tmp_path / "r"))
+    store.commit("b0", rollups.change(docs, 1, "words-1"))
+    totals = store.totals()
+    store.compact()
+    assert rows(totals) == rows(store.totals()) == [("s", "en", "words-1", 1, 2)]
+    store.compact()
+    assert not list((tmp_path / "r/batches").iterdir()) and rows(store.totals()) == [("s", "en", "words-1", 1, 2)]

@@ -48,6 +48,11 @@ def test_as_of_join_is_the_search(spark):
     for slices in (1, 7, 256):
         got = {r["record_id"]: (r["outcome"], r["response_id"]) for r in warc.resolve(df, slices).collect()}
         assert got == expected
+    far = df.union(spark.createDataFrame([(9000, "response", "http://far.example/", 10**15, 200, None), (9001, "response", "http://far.example/", -(10**15), 200, None)], SCHEMA))
+    got = {r["record_id"]: (r["outcome"], r["response_id"]) for r in warc.resolve(far, 16).collect()}
+    assert got == expected
+    held = far.withColumn("slice", warc.slice_of(far, 16)).where("abs(ts) < 10000").groupBy("slice").count().collect()
+    assert len(held) > 10 and max(r["count"] for r in held) < 120  # far-off times spoil no other slice
 
 
 def test_headers_merge(spark):
