@@ -142,3 +142,10 @@ def test_short_training_samples_are_learned(spark):
     assert langid.keep_known(docs, m).count() == 4 and {(r["doc_id"], r["lang_pred"]) for r in langid.predict(docs, m).collect()} == {(d, x) for d, _, x in rows}
     cut = langid.spliced([("a", [f"w{i}" for i in range(100)])], ["a"], 48, np.random.default_rng(1))
     assert {w for x, _ in cut for w in x} == {f"w{i}" for i in range(100)} and {len(x) for x, _ in cut} == {48}
+
+
+def test_ids_and_columns_of_any_kind(spark):
+    rows = [(f"d{k}", t, x, "u", k) for k, (t, x) in enumerate([("the cat and the dog " * 9, "en"), ("der hund und die katze " * 9, "de"), ("the end and the start " * 9, "en"), ("die and der und " * 9, "de"), ("12", "en"), (None, None)])]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "meta.url", "__0"])
+    kept = langid.keep_known(docs, langid.fit(docs))
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {"d0", "d1", "d2", "d3"}

@@ -40,6 +40,43 @@ def test_attention_sums_to_one():
     assert np.allclose(np.add.reduceat(f["a"], [0, counts[0]]), 1) and counts[0] == 7
 
 
+def plain_score(m, text):
+    """A document's score by loops over passages, words and bytes."""
+    w, cut = {k: v.astype(np.float64) for k, v in m.weights.items()}, (text or "").split()
+    hidden, energy = [], []
+    for at in range(0, max(1, len(cut)), 64):
+        part = cut[at : at + 64]
+        raw, x = " ".join(part).encode(), np.zeros(quality.WIDTH)
+        ids = [zlib.crc32(t.lower().encode()) % quality.WORDS for t in part]
+        for i in ids:
+            x[i] += 1 / len(part)
+        for b in raw:
+            x[quality.WORDS + b] += 1 / len(raw)
+        x = np.sqrt(x)
+        x[-4:] = [len(set(part)) / max(1, len(part)), sum(a == b for a, b in zip(ids, ids[1:], strict=False)) / max(1, len(part)), min(4, len(raw) / max(1, len(part)) / 8), len(part) / 64]
+        h = np.tanh(x @ w["encode"] + w["encode_bias"])
+        hidden.append(h)
+        energy.append((np.tanh(h @ w["tanh"]) / (1 + np.exp(-(h @ w["gate"])))) @ w["attend"])
+    a = np.exp(energy) / np.exp(energy).sum()
+    return 1 / (1 + np.exp(-(a @ np.array(hidden) @ w["out"] + w["out_bias"][0])))
+
+
+def test_query_scores_by_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("crc32(cast(doc_id as string)) % 5 <> 0")
+    m = quality.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in quality.query(spark, sf).collect():
+        p = plain_score(m, texts[r["doc_id"]])
+        assert abs(p - r["score"]) < 1e-4 and r["predicted"] == int(r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("x", "good words in here"), ("y", "|| ||"), (None, "z")], "doc_id string, text string")
+    labels = spark.createDataFrame([("x", 1), ("y", 0)], "doc_id string, quality int")
+    assert {r["doc_id"] for r in quality.score(docs, quality.fit(docs, labels)).collect()} == {"x", "y", None}
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     rows = quality.query(spark, sf).collect()
