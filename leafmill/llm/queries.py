@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmill.llm import bpe, chat, langid, mpeg, quality, rollups, simhash, templates, tiling, warc
+from leafmill.llm import bpe, chat, collocations, langid, mpeg, quality, rollups, simhash, templates, tiling, toxicity, variants, warc
 
 QUERIES = {
     "op1_chat": chat.query,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_tiling": tiling.query,
     "op9_warc": warc.query,
     "op10_rollups": rollups.query,
+    "op11_toxicity": toxicity.query,
+    "op12_collocations": collocations.query,
+    "op13_variants": variants.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_templates": templates.SQL,
     "op9_warc": warc.SQL,
     "op10_rollups": rollups.SQL,
+    "op12_collocations": collocations.SQL,
 }
