@@ -1,7 +1,7 @@
 """A bitmap of fixed size over 64-bit hashes: what it does not hold was never put in.
 
 The bits are set by a grouped `bit_or` in Spark, so at most 2 ** (BITS - 6) rows of 16 bytes reach the driver however many
-hashes there are; more hashes only let more strangers pass. Each hash sets and tests one bit for each of PROBES.
+hashes there are; more hashes only let more strangers pass. Each hash sets and tests one bit for each of some places in it.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def of(hashes: DataFrame) -> np.ndarray:
+def of(hashes: DataFrame, probes: tuple[int, ...] = PROBES) -> np.ndarray:
     """The bitmap of a DataFrame's column `h` of longs, as unsigned 64-bit words."""
     mask = (1 << BITS) - 1
-    cells = F.array(*[F.shiftrightunsigned("h", s).bitwiseAND(F.lit(mask).cast("long")) for s in PROBES])
+    cells = F.array(*[F.shiftrightunsigned("h", s).bitwiseAND(F.lit(mask).cast("long")) for s in probes])
     each = hashes.select(F.explode(cells).alias("cell"))
     bit = F.expr("shiftleft(1L, cast(cell & 63 as int))")
     words = each.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
@@ -33,10 +33,10 @@ def of(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+def holds(bits: np.ndarray, h: np.ndarray, probes: tuple[int, ...] = PROBES) -> np.ndarray:
     """For each of the unsigned hashes, if the bitmap may hold it."""
     found = None
-    for s in PROBES:
+    for s in probes:
         here = h if found is None else h[found]
         cell = here >> np.uint64(s) & np.uint64((1 << BITS) - 1)
         ok = (bits[cell >> np.uint64(6)] >> (cell & np.uint64(63)) & np.uint64(1)).astype(bool)

@@ -9,9 +9,9 @@ ends after a fixed number of words; the next `max_words` - 1 words are seen but
 Counts are merged globally by key, level by level. A phrase of m words that occurs `min_count` times consists of phrases
 of m - 1 words that do. So the passes count hashes of words, then of pairs, and so on, and keep those of enough
 occurrences in a bitmap of fixed size; a phrase goes on only if both parts of m - 1 words may be in it. The last pass
-sends the phrases themselves as text, so every count that is used is exact, whatever hashes collide: pruning only ever
-lets too much through. What is shuffled are shards' distinct phrases, summed before the shuffle; no word or phrase is a
-hot key.
+sends what is left of all lengths as text, so every count that is used is exact, whatever hashes collide: pruning only
+ever lets too much through. What is shuffled are tasks' distinct phrases, summed before the shuffle, as hashes of HASH
+bits until few are left; no word or phrase is a hot key.
 
 A candidate is a phrase of 2 to `max_words` words with a = f(phrase) >= min_count. Cutting it after its first k words gives
 l = f(first part), r = f(rest) and floor(1000000 * a * a / (l * r)), computed in decimals of 38 digits (exact for
@@ -46,6 +46,8 @@ KIND[[*b".,;:!?", 10, 11, 12, 13]] = END
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 NEXT = np.uint64(0x9E3779B97F4A7C15)
+HASH, PROBES = 44, (0, 18)  # bits of a phrase's hash, and where the bitmaps take theirs
+MASK = np.uint64((1 << HASH) - 1)
 
 
 def spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,43 +75,42 @@ class Words:
         indices, self.texts = dictionary(data, kind == WORD, begins, ends)
         self.langs = sorted(set(langs))
         number = {x: k for k, x in enumerate(self.langs)}
-        starts = np.cumsum([0, *(len(x) + 1 for x in raw[:-1])])
-        of_text = np.array([number[x] for x in langs], dtype=np.int64)
-        lang = of_text[np.searchsorted(starts, begins, "right") - 1]
+        starts = np.cumsum([0, *(len(x) + 1 for x in raw)])
+        held = np.diff(np.searchsorted(begins, starts))  # words of each text
+        lang = np.repeat(np.array([number[x] for x in langs], dtype=np.int64), held)
         passed = np.cumsum(kind == END, dtype=np.int64)[begins]
         broken = np.concatenate(([0], (np.diff(passed) > 0).astype(np.int64))) if len(begins) else passed
+        pairs = lang * len(self.texts) + indices
+        seen = np.zeros(len(self.langs) * len(self.texts), dtype=bool)
+        seen[pairs] = True
+        self.used = np.flatnonzero(seen)  # of each id, from 1: its lang's number and its text's
         self.ids = np.zeros(len(begins) + int(broken.sum()), dtype=np.int64)
-        self.ids[np.arange(len(begins)) + np.cumsum(broken)] = lang * len(self.texts) + indices + 1
-        self.used = np.unique(self.ids[self.ids > 0])
+        self.ids[np.arange(len(begins)) + np.cumsum(broken)] = np.cumsum(seen)[pairs]
         names = self.texts.to_pylist()
-        keys = (f"{self.langs[(i - 1) // len(names)]}\0{names[(i - 1) % len(names)]}" for i in self.used.tolist())
-        self.hashes = np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), dtype=np.uint64, count=len(self.used))
-
-    def hash_of(self, ids: np.ndarray) -> np.ndarray:
-        """The hash of each id; 0 of boundaries."""
-        out = np.zeros(len(ids), dtype=np.uint64)
-        some = ids > 0
-        out[some] = self.hashes[np.searchsorted(self.used, ids[some])]
-        return out
+        keys = (f"{self.langs[i // len(names)]}\0{names[i % len(names)]}" for i in self.used.tolist())
+        hashed = np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), dtype=np.uint64, count=len(self.used))
+        self.hashes = np.concatenate((np.zeros(1, dtype=np.uint64), hashed & MASK))  # by id
 
     def phrases(self, at: np.ndarray, size: int, ids: np.ndarray) -> tuple[pa.Array, pa.Array]:
         """Lang and text of the phrases of so many words that begin at these places."""
-        first = ids[at] - 1
-        lang = pa.array(self.langs, pa.string()).take(pa.array(first // max(1, len(self.texts))))
-        cut = [self.texts.take(pa.array((ids[at + j] - 1) % max(1, len(self.texts)))) for j in range(size)]
-        return lang, (cut[0] if size == 1 else pc.binary_join_element_wise(*cut, pa.scalar(" ", pa.large_string()))).cast(pa.string())
+        used = self.used if len(self.used) else np.zeros(1, dtype=np.int64)
+        found, n = [used[ids[at + j] - 1] for j in range(size)], max(1, len(self.texts))
+        lang = pa.array(self.langs, pa.string()).take(pa.array(found[0] // n))
+        cut = [self.texts.take(pa.array(x % n)) for x in found]
+        joined = cut[0] if size == 1 else pc.binary_join_element_wise(*cut, pa.scalar(" ", pa.large_string()))
+        return lang, joined.cast(pa.string())
 
 
 def suffix_order(ids: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """The places `at` in the order of their suffixes' first `depth` words or more; zeros stand behind ids' last place."""
     rank, k = ids, 1
     if depth == 1:
-        return at[np.argsort(ids[at], kind="stable")]
+        return at[np.argsort(ids[at])]
     while True:
         last = 2 * k >= depth  # then only the places asked for are sorted; until then all have ranks
         some = at if last else np.nonzero(ids > 0)[0]
         pairs = rank[some] * (int(rank.max(initial=0)) + 1) + rank[np.minimum(some + k, len(ids) - 1)]
-        order = np.argsort(pairs, kind="stable")
+        order = np.argsort(pairs)
         if last:
             return at[order]
         ranks = np.cumsum(np.concatenate(([1], np.diff(pairs[order]) != 0)))[: len(some)]
@@ -138,17 +139,16 @@ def shards(words: Words, size: int, maps: dict[int, np.ndarray]) -> Iterator[tup
     """
     ids = words.ids
     if 1 in maps:
-        known = np.concatenate(([0], words.used))
-        ok = np.concatenate(([False], bitmap.holds(maps[1], words.hashes)))
-        ids = np.where(ok[np.searchsorted(known, ids)], ids, 0)
+        ok = bitmap.holds(maps[1], words.hashes, PROBES)
+        ok[0] = False
+        ids = np.where(ok[ids], ids, 0)
     for begin in range(0, len(ids), SHARD):
         own = np.concatenate((ids[begin : begin + SHARD + size - 1], np.zeros(size, dtype=np.int64)))
         n = min(SHARD, len(ids) - begin)
-        single = words.hash_of(own)
-        hashes = [single]
+        hashes = [words.hashes[own]]
         for m in range(2, size + 1):
-            tail = np.concatenate((single[m - 1 :], np.zeros(m - 1, dtype=np.uint64)))
-            hashes.append(bitmap.mixed(hashes[-1] * NEXT + tail))
+            tail = np.concatenate((hashes[0][m - 1 :], np.zeros(m - 1, dtype=np.uint64)))
+            hashes.append(bitmap.mixed(hashes[-1] * NEXT + tail) & MASK)
         yield own, np.nonzero(own[:n])[0], hashes
 
 
@@ -176,7 +176,7 @@ def possible(ids: np.ndarray, at: np.ndarray, hashes: list[np.ndarray], size: in
         ok &= ids[at + j] > 0
     if size > 2:
         for j in (0, 1):
-            ok[ok] = bitmap.holds(maps[size - 1], hashes[size - 2][at[ok] + j])
+            ok[ok] = bitmap.holds(maps[size - 1], hashes[size - 2][at[ok] + j], PROBES)
     return ok
 
 
@@ -186,23 +186,23 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10) -> D
     small_arrow_batches(spark)
     narrow = docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     maps: dict[int, np.ndarray] = {}
-    for m in range(1, max_words):
-        maps[m] = bitmap.of(counted_hashes(narrow, m, maps, min_count))
+    for m in range(1, max_words + 1):
+        maps[m] = bitmap.of(counted_hashes(narrow, m, maps, min_count), PROBES)
     sent = spark.sparkContext.broadcast(maps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", "size", "phrase", "n"]
         for b in batches:
             words = Words(b.column("text").to_pylist(), b.column("lang").to_pylist())
-            held = words.ids[words.ids > 0]
-            of_lang = np.bincount((held - 1) // max(1, len(words.texts)), minlength=len(words.langs))
+            lang_of = words.used[words.ids[words.ids > 0] - 1] // max(1, len(words.texts))
+            of_lang = np.bincount(lang_of, minlength=len(words.langs))
             whole = [pa.array(words.langs), pa.array([0] * len(words.langs), pa.int32()), pa.array([""] * len(words.langs)), pa.array(of_lang)]
             yield pa.RecordBatch.from_arrays(whole, names=names)
             for ids, at, hashes in shards(words, max_words, sent.value):
                 for m, first, n in intervals(ids, suffix_order(ids, at, max_words), list(range(1, max_words + 1))):
                     ok = possible(ids, first, hashes, m, sent.value)
-                    if 1 < m < max_words:
-                        ok[ok] = bitmap.holds(sent.value[m], hashes[m - 1][first[ok]])
+                    if m > 1:
+                        ok[ok] = bitmap.holds(sent.value[m], hashes[m - 1][first[ok]], PROBES)
                     lang, phrase = words.phrases(first[ok], m, ids)
                     yield pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(phrase), m, np.int32)), phrase, pa.array(n[ok])], names=names)
 
@@ -218,17 +218,18 @@ SCORE = """cast((1000000BD * cast(a as decimal(15,0)) * cast(a as decimal(15,0))
 def scored(counts: DataFrame) -> DataFrame:
     """lang, phrase, size, a, l, r, score of the candidates among counts, by each one's lowest-scoring cut."""
     words = F.split("phrase", " ")
-    held = counts.where("size >= 2").select("lang", "phrase", "size", F.col("n").alias("a"), words.alias("w"))
+    held = counts.where("size >= 2").select("lang", "size", F.col("n").alias("a"), words.alias("w"))
     cut = held.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
     parts = cut.select(
-        "lang", "phrase", "size", "a", "k",
+        "lang", "size", "a", "k",
         F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("left"),
         F.array_join(F.slice("w", F.col("k") + 1, F.col("size")), " ").alias("right"),
     )
     part = lambda name, n: counts.where("size >= 1").select("lang", F.col("phrase").alias(name), F.col("n").alias(n))
     both = parts.join(part("left", "l"), ["lang", "left"]).join(part("right", "r"), ["lang", "right"])
+    whole = F.concat_ws(" ", "left", "right").alias("phrase")
     lowest = F.min(F.struct(F.expr(SCORE).alias("score"), "k", "l", "r")).alias("cut")
-    return both.groupBy("lang", "phrase", "size", "a").agg(lowest).select("lang", "phrase", "size", "a", "cut.l", "cut.r", "cut.score")
+    return both.groupBy("lang", whole, "size", "a").agg(lowest).select("lang", "phrase", "size", "a", "cut.l", "cut.r", "cut.score")
 
 
 def covered(counts: DataFrame, max_words: int, percent: int) -> DataFrame:

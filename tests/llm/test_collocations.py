@@ -81,7 +81,7 @@ def test_shards_of_any_size_agree(spark, monkeypatch):
 def test_bitmap_without_room_only_lets_more_through(spark, monkeypatch):
     docs = some_docs(4)
     plain = compare(spark, docs)
-    monkeypatch.setattr(collocations.bitmap, "of", lambda hashes: np.full(1 << 20, np.uint64(2**64 - 1)))
+    monkeypatch.setattr(collocations.bitmap, "of", lambda hashes, probes: np.full(1 << 20, np.uint64(2**64 - 1)))
     assert compare(spark, docs) == plain
 
 
