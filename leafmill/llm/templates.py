@@ -10,10 +10,14 @@ template, so that a text that exists in many copies isn't lost with its copies;
 That rule (the query's, and its SQL's) counts constants by an absolute number, so in a leaf of many documents the values of
 a variable field become constants and its template falls apart into whole lines. With `share`, constants are relative to
 the line: of the tokens above only those count that `share` of the documents hold which hold its `similarity`-th most
-frequent token. A line whose template does not recur then joins a recurring template of its leaf. At most b mismatches leave
-one of b + 1 groups of positions without one, so a line meets templates by the hashes of these groups: at each group the
-template that most documents hold of those with its tokens there. Of these, at most b + 1, it joins the one with which it
-shares most tokens, if these are `similarity` of its own. So a leaf of many lines and templates never makes all their pairs.
+frequent token. A line whose template does not recur then joins a recurring one of its leaf with which it shares
+`similarity` of its own tokens, place by place: the constants of a recurring template, or all tokens of a line that
+`min_docs` documents hold. Every line that has such a pattern joins one. At most b mismatches leave one of b + 1 groups of
+positions without one, so lines and patterns meet by the hashes of these groups. First a line meets the pattern that most
+documents hold at each of its groups, at most b + 1 in all; only lines that none of these takes go on to all patterns of
+their groups, and take the one that shares most tokens. So the many near copies of one line, which almost all match the
+first, make no pairs with one another; in a leaf where many lines share a group with many patterns and match none, the
+second step compares them all (keys that are hot there are split between tasks by Spark).
 
 Documents are parsed once into the hashes of their lines and leaves, from which all counts and holders come; they are
 read a second time for the text of distinct lines in leaves that recur, and a third time to take lines out. Counts are
@@ -25,7 +29,7 @@ known by 64-bit hashes: among 10^11 distinct lines about 300 pairs share one.
 Defined results: lines are split at newlines, tokens at spaces, tabs and carriage returns; lines of fewer than `min_tokens` tokens (empty ones
 too) are never dropped; null text stays null; texts that lose all lines become empty, the row stays; rows that repeat
 with equal id and text are one document in all counts and are treated alike; null doc_ids come last in the order of
-documents; an empty table stays empty; other columns pass through, under any names but __lt_lines and __lt_dropped.
+documents; an empty table stays empty; other columns pass through, under any names (but those asked for as `counts`).
 """
 
 from __future__ import annotations
@@ -144,31 +148,65 @@ def relative_lines(cut: DataFrame, held_tokens: DataFrame, min_docs: int, leadin
     fixed = held_tokens.groupBy("leaf", "lh", "size", "n").agg(most.alias("most"))
     wanted = F.ceil(similarity * F.col("size") - 1e-9).cast("int")
     fixed = fixed.where(F.size("most") >= wanted).withColumn("least", share * F.element_at("most", wanted)["held"])
-    kept = F.sort_array(F.transform(F.filter("most", lambda x: x["held"] >= F.col("least")), lambda x: F.struct(x["at"].alias("at"), x["token"].alias("token"))))
+    constant = F.filter("most", lambda x: x["held"] >= F.col("least"))
+    kept = F.sort_array(F.transform(constant, lambda x: F.struct(x["at"].alias("at"), x["token"].alias("token"))))
     own = fixed.select("leaf", "lh", "size", "n", kept.alias("kept")).withColumn("template", F.xxhash64("leaf", "kept")).checkpoint()
-    found = own.groupBy("template").agg(F.sum("n").alias("held"), F.count("*").alias("rows"), F.first("leaf").alias("leaf"), F.first("size").alias("size"), F.first("kept").alias("kept")).where(F.col("held") >= min_docs).checkpoint()
-    here = joined(own.select("lh", "n", "template"), found.select("template", "rows"), ["template"], "rows", own.count()).select("lh", "template", "n")
-    pattern = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.element_at(F.map_from_entries("kept"), i))
-    patterns = found.select("template", "leaf", "held", "size", pattern.alias("pattern"))
-    keyed = patterns.select("template", "leaf", "held", F.explode(group_keys(F.col("pattern"), F.col("size"), leading, similarity)).alias("k")).where("k is not null")
-    heads = keyed.groupBy("leaf", "k").agg(F.max(F.struct("held", "template"))["template"].alias("template"))
-    rest = cut.join(here.select("lh"), "lh", "left_anti").join(few(found.select("leaf").distinct()), "leaf", "left_semi")
-    lines = rest.select("lh", "leaf", F.explode(group_keys(F.col("cut"), F.size("cut"), leading, similarity)).alias("k")).checkpoint()
-    met_at = lines.groupBy("leaf", "k").agg(F.count("*").alias("rows"))
-    weighed = heads.join(met_at, ["leaf", "k"]).checkpoint()
-    pairs = joined(lines, weighed, ["leaf", "k"], "rows", lines.count()).select("lh", "template").distinct().checkpoint()
-    asked = patterns.select("template", "pattern").join(pairs.groupBy("template").agg(F.count("*").alias("rows")), "template").checkpoint()
-    texts = pairs.join(cut.select("lh", "n", "cut"), "lh")
+    one = [F.first(c).alias(c) for c in ("leaf", "size", "kept")]
+    found = own.groupBy("template").agg(F.sum("n").alias("held"), F.count("*").alias("rows"), *one).where(F.col("held") >= min_docs).checkpoint()
+    known = found.select("template", "rows")
+    here = joined(own.select("lh", "n", "template"), known, ["template"], "rows", own.count()).select("lh", "template", "n").checkpoint()
+    leaves = few(found.select("leaf").distinct())
+    rest = cut.join(here.select("lh"), "lh", "left_anti").join(leaves, "leaf", "left_semi")
+    lines = rest.select("lh", "n", "leaf", "cut", F.explode(group_keys(F.col("cut"), F.size("cut"), leading, similarity)).alias("k")).checkpoint()
+    patterns = all_patterns(found, own, here, cut, few(lines.select("leaf").distinct()), min_docs)
+    keyed = patterns.select("leaf", F.explode(group_keys(F.col("pattern"), F.size("pattern"), leading, similarity)).alias("k"), "held", "template", "pattern").where("k is not null")
+    keyed = keyed.join(few(lines.select("leaf", "k").distinct()), ["leaf", "k"], "left_semi").checkpoint()
+    top = F.max(F.struct("held", "template", "pattern")).alias("top")
+    heads = keyed.groupBy("leaf", "k").agg(top, F.count("*").alias("patterns")).select("leaf", "k", "top.*", "patterns").checkpoint()
+    first = similar_lines(lines, heads, similarity).checkpoint()
+    more = few(heads.where("patterns > 1").select("leaf", "k"))
+    left = lines.join(first.select("lh"), "lh", "left_anti").join(more, ["leaf", "k"], "left_semi")
+    second = similar_lines(left, keyed.join(more, ["leaf", "k"], "left_semi"), similarity)
+    return here.unionByName(first).unionByName(second)
+
+
+def all_patterns(found: DataFrame, own: DataFrame, here: DataFrame, cut: DataFrame, leaves: DataFrame, min_docs: int) -> DataFrame:
+    """leaf, template, held, pattern (null at variable fields) of the leaves: recurring templates, and lines that recur themselves."""
+    constants = F.map_from_entries("kept")
+    pattern = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.element_at(constants, i))
+    general = found.join(leaves, "leaf", "left_semi").select("leaf", "template", "held", pattern.alias("pattern"))
+    whole = cut.where(F.col("n") >= min_docs).join(leaves, "leaf", "left_semi").join(here.select("lh", "template"), "lh")
+    return general.unionByName(whole.select("leaf", "template", F.col("n").alias("held"), F.col("cut").alias("pattern"))).distinct()
+
+
+def similar_lines(lines: DataFrame, patterns: DataFrame, similarity: float) -> DataFrame:
+    """(lh, template, n) of the lines (leaf, k, lh, n, cut) that are similar to a pattern (leaf, k, template, pattern) of their groups.
+
+    Only similar pairs come out of the join, and are reduced to a line's best before they are shuffled.
+    """
     alike = F.size(F.filter(F.zip_with("cut", "pattern", lambda a, b: a == b), lambda x: x))
-    met = joined(texts, asked, ["template"], "rows", pairs.count()).select("lh", "n", "template", F.size("cut").alias("size"), alike.alias("alike")).where(F.col("alike") >= similarity * F.col("size") - 1e-9)
-    near = met.groupBy("lh", "n").agg(F.max(F.struct("alike", "template"))["template"].alias("template"))
-    return here.unionByName(near)
-
-
-def dedup_lines(docs: DataFrame, min_docs: int = 3, leading: int = 3, similarity: float = 0.7, min_tokens: int = 3, keep_first: bool = True, share: float | None = None) -> DataFrame:
-    """docs with the lines of recurring templates taken out of `text`, and n_lines and n_dropped as __lt_lines, __lt_dropped."""
+    met = lines.join(patterns.select("leaf", "k", "template", "pattern"), ["leaf", "k"])
+    near = met.select("lh", "n", "template", alike.alias("alike"), F.size("cut").alias("size"))
+    near = near.where(F.col("alike") >= similarity * F.col("size") - 1e-9)
+    return near.groupBy("lh", "n").agg(F.max(F.struct("alike", "template"))["template"].alias("template")).select("lh", "template", "n")
+
+
+def dedup_lines(
+    docs: DataFrame,
+    min_docs: int = 3,
+    leading: int = 3,
+    similarity: float = 0.7,
+    min_tokens: int = 3,
+    keep_first: bool = True,
+    share: float | None = None,
+    counts: tuple[str, str] | None = ("__lt_lines", "__lt_dropped"),
+) -> DataFrame:
+    """docs with the lines of recurring templates taken out of `text`; `counts` names columns for its lines and those dropped."""
+    if clash := set(counts or ()) & set(docs.columns):
+        raise ValueError(f"docs has columns {sorted(clash)}; name others for the counts")
     _, recurring, matched = found_lines(docs, min_docs, leading, similarity, min_tokens, 1_000_000, share)
-    marked = joined(matched, recurring.select("template", "first", "rows"), ["template"], "rows", recurring.agg(F.sum("rows")).first()[0] or 0)
+    in_all = recurring.agg(F.sum("rows")).first()[0] or 0
+    marked = joined(matched, recurring.select("template", "first", "rows"), ["template"], "rows", in_all)
     if keep_first:
         marked = marked.where(~(F.col("first")[ID].eqNullSafe(F.col(ID)) & (F.col("first")[HASH] == F.col(HASH))))
     drops = marked.groupBy(ID, HASH).agg(F.collect_set("lh").alias("gone"))
@@ -177,11 +215,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, leading: int = 3, similarity
     text = F.col("row").getField("text")
     met = met.withColumn("parts", F.split(text, "\n"))
     left = F.when(F.col("gone").isNull(), F.col("parts")).otherwise(F.filter("parts", lambda x: ~F.array_contains("gone", F.xxhash64(x))))
-    return met.withColumn("left", left).select(
-        *[(F.when(F.col("gone").isNull(), text).otherwise(F.array_join("left", "\n")) if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns],
-        F.when(text.isNull(), 0).otherwise(F.size("parts")).alias("__lt_lines"),
-        F.when(text.isNull(), 0).otherwise(F.size("parts") - F.size("left")).alias("__lt_dropped"),
-    )
+    met = met.withColumn("left", left)
+    new = F.when(F.col("gone").isNull(), text).otherwise(F.array_join("left", "\n"))
+    columns = [(new if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns]
+    if counts:
+        columns.append(F.when(text.isNull(), 0).otherwise(F.size("parts")).alias(counts[0]))
+        columns.append(F.when(text.isNull(), 0).otherwise(F.size("parts") - F.size("left")).alias(counts[1]))
+    return met.select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,3 +134,100 @@ def test_lines_join_a_recurring_line_they_differ_from_in_a_field(spark):
     rows = [(i, " ".join(same)) for i in range(50)] + [(100 + k, " ".join([*same[:k], "other", *same[k + 1 :]])) for k in range(3, 10)] + [(200, "Copyright of this thing was kept for the many heirs")]
     left = templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), share=0.5)
     assert {r["doc_id"] for r in left.where("text <> ''").collect()} == {0, 200}
+
+
+def slow_relative(docs, share=0.5, min_docs=3, leading=3, similarity=0.7, min_tokens=3):
+    """The texts that are left, by the rule with relative constants; every line is compared with every pattern of its leaf."""
+    held, in_leaf = defaultdict(set), Counter()
+    cut = lambda x: [w for w in re.split("[ \t\r]", x) if w]
+    place = lambda w: (len(w), *("<*>" if re.search("[0-9]", t) else t for t in w[:leading]))
+    for d, t in docs:
+        for x in set(t.split("\n")):
+            if len(cut(x)) >= min_tokens:
+                held[x].add(d)
+                in_leaf[place(cut(x))] += 1
+    some = [x for x in held if in_leaf[place(cut(x))] >= min_docs]
+    held_at = Counter()
+    for x in some:
+        for i, w in enumerate(cut(x)):
+            held_at[place(cut(x)), i, w] += len(held[x])
+    of, total = {}, Counter()
+    for x in some:
+        leaf, n = place(cut(x)), len(cut(x))
+        most = sorted(((held_at[leaf, i, w], i, w) for i, w in enumerate(cut(x)) if held_at[leaf, i, w] >= min_docs), reverse=True)
+        wanted = -int(-(similarity * n - 1e-9) // 1)
+        if len(most) >= wanted:
+            of[x] = (leaf, tuple(sorted((i, w) for h, i, w in most if h >= share * most[wanted - 1][0])))
+            total[of[x]] += len(held[x])
+    here = {x: t for x, t in of.items() if total[t] >= min_docs}
+    patterns = defaultdict(set)
+    for x, t in here.items():
+        patterns[t[0]].add((t, tuple(dict(t[1]).get(i) for i in range(t[0][0]))))
+        if len(held[x]) >= min_docs:
+            patterns[t[0]].add((t, tuple(cut(x))))
+    joins = dict(here)
+    for x in some:
+        if x not in here:
+            alike = [(sum(a == b for a, b in zip(cut(x), p, strict=True)), t) for t, p in patterns[place(cut(x))]]
+            alike = [(n, t) for n, t in alike if n >= similarity * len(cut(x)) - 1e-9]
+            if alike:
+                joins[x] = alike
+    return joins, held, here
+
+
+def lines_left(spark, docs, **k):
+    left = templates.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), share=0.5, keep_first=False, **k)
+    return {r["doc_id"]: r["text"] for r in left.collect()}
+
+
+def test_every_line_similar_to_a_recurring_pattern_goes(spark):
+    random.seed(4)
+    pool = [f"w{chr(97 + i)}" for i in range(12)]
+    base = [["Same", "three", "words", *random.choices(pool, k=9)] for _ in range(60)]
+    docs, n = [], 0
+    for line in base:
+        for _ in range(random.randint(3, 9)):
+            docs.append((n := n + 1, " ".join(line)))
+    planted = []
+    for _ in range(200):
+        line = list(random.choice(base))
+        for i in random.sample(range(3, 12), 3):
+            line[i] = random.choice([w for w in pool if w != line[i]])
+        docs.append((n := n + 1, " ".join(line)))
+        planted.append(n)
+    left = lines_left(spark, docs)
+    assert [d for d in planted if left[d]] == []
+
+
+def test_an_unrelated_template_of_many_documents_hides_none(spark):
+    shared = "the page was written by its many own authors here".split(" ")
+    docs = [(i, " ".join(shared)) for i in range(5)]
+    docs.append((10, " ".join([*shared[:3], "w", "x", "y", *shared[6:]])))
+    docs += [(20 + i, " ".join([*shared[:3], "a", "the", "b", "many", "c", "d", "e"])) for i in range(10)]
+    assert set(lines_left(spark, docs).values()) == {""}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_relative_rule_on_random_leaves(spark, seed):
+    random.seed(seed)
+    docs = []
+    for i in range(150):
+        lines = []
+        for _ in range(random.randint(1, 4)):
+            size = random.choice([4, 6, 9])
+            lines.append(" ".join(["go", random.choice(["x", "1"]), "on", *(random.choices("abcde", weights=[8, 4, 2, 1, 1], k=size - 3))]))
+        docs.append((i, "\n".join(lines)))
+    joins, held, here = slow_relative(docs)
+    got, _ = templates.recurring_lines(spark.createDataFrame(docs, "doc_id long, text string"), share=0.5)
+    marked = {r["lh"] for r in got.collect()}
+    hashed = {r["x"]: r["h"] for r in spark.createDataFrame([(x,) for x in held], "x string").selectExpr("x", "xxhash64(x) as h").collect()}
+    assert marked == {hashed[x] for x in joins} and len(here) < len(joins)
+
+
+def test_names_of_count_columns(spark):
+    same = "the very same line"
+    df = spark.createDataFrame([(i, same, 1, 2) for i in range(4)], ["doc_id", "text", "__lt_lines", "__lt_dropped"])
+    with pytest.raises(ValueError):
+        templates.dedup_lines(df)
+    assert templates.dedup_lines(df, counts=None).columns == df.columns
+    assert templates.dedup_lines(df, counts=("a", "b")).where("b = 1").count() == 3
