@@ -5,7 +5,10 @@ durations and frame offsets stored.
 variable-bitrate table, then CRC-protected frames of silence that carry the bytes as ancillary data, each frame of the
 smallest bitrate that holds what is left. `read` takes any MPEG audio: it finds frames of MPEG-1, 2 and 2.5, all layers,
 by headers that chain (a header counts if it stands right after a frame of its kind, or if another header or the end
-stands where its own frame ends), skips what is no frame and counts those bytes. Layer III checksums are verified; other layers' are counted as unchecked.
+stands where its own frame ends), skips what is no frame and counts those bytes. Frames of free format reach to the next
+header of their kind, whose distance then holds for all. A tag at the end counts only where it stands right behind a whole
+frame (or alone), so carried bytes are never taken for one. Seek tables of Xing, Info and VBRI frames are read as byte
+offsets from the table's frame. Layer III checksums are verified; other layers' are counted as unchecked.
 
 Defined results: null text is empty text; null media give null values; media without any frame give 0 frames, 0 samples
 and a null payload; texts of any length are stored whole; repeated rows repeat; other columns are ignored.
@@ -48,6 +51,11 @@ class Header:
     length: int
     samples: int
 
+    @property
+    def kind(self) -> tuple[int, int, int]:
+        """What does not change from frame to frame."""
+        return self.version, self.layer, self.rate
+
     @property
     def side(self) -> int:
         """Bytes of Layer III side information."""
@@ -56,19 +64,32 @@ class Header:
 
 @lru_cache(maxsize=4096)
 def header(four: bytes) -> Header | None:
-    """The frame header in four bytes, if they are one."""
+    """The frame header in four bytes, if they are one. Free format has bitrate 0 and, for length, its padding alone."""
     if len(four) < 4:
         return None
     word = int.from_bytes(four, "big")
     version, layer, bits, hz = word >> 19 & 3, 4 - (word >> 17 & 3), word >> 12 & 15, word >> 10 & 3
-    if word >> 21 != 0x7FF or version == 1 or layer == 4 or bits in (0, 15) or hz == 3 or word & 3 == 2:
+    if word >> 21 != 0x7FF or version == 1 or layer == 4 or bits == 15 or hz == 3 or word & 3 == 2:
         return None
-    rate, kbits, pad = RATES[version][hz], BITRATES[version == 3, layer][bits - 1], word >> 9 & 1
+    rate, pad = RATES[version][hz], word >> 9 & 1
+    kbits = BITRATES[version == 3, layer][bits - 1] if bits else 0
     samples = 384 if layer == 1 else 576 if layer == 3 and version != 3 else 1152
     length = (12000 * kbits // rate + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbits // rate + pad
     return Header(version, layer, not word >> 16 & 1, kbits, rate, word >> 6 & 3 == 3, length, samples)
 
 
+def free_length(data: bytes, at: int, end: int, h: Header) -> int | None:
+    """The length without padding of the free-format frame at a place: to the next header of its kind; None without one."""
+    least = 4 + 2 * h.protected + (h.side if h.layer == 3 else 16)
+    found = data.find(b"\xff", at + least, end)
+    while 0 <= found:
+        other = header(data[found : found + 4])
+        if other and not other.bitrate and other.kind == h.kind:
+            return found - at - h.length
+        found = data.find(b"\xff", found + 1, end)
+    return None
+
+
 def _crc_table() -> list[int]:
     table = []
     for top in range(256):
@@ -146,11 +167,13 @@ class Audio:
     skipped: int = 0
     table_frames: int | None = None
     table_bytes: int | None = None
-    tags: dict[str, bytes] = field(default_factory=dict)
+    seek: list[int] = field(default_factory=list)
+    end_tag: bool = False
+    tags: dict[str, list[bytes]] = field(default_factory=dict)
 
 
-def read_tags(data: bytes) -> tuple[dict[str, bytes], int]:
-    """ID3v2 frames at the start (versions 2.3 and 2.4) and where the audio begins."""
+def read_tags(data: bytes) -> tuple[dict[str, list[bytes]], int]:
+    """ID3v2 frames at the start (versions 2.3 and 2.4), all of each name, and where the audio begins."""
     if data[:3] != b"ID3" or len(data) < 10:
         return {}, 0
     unsafe = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
@@ -160,23 +183,29 @@ def read_tags(data: bytes) -> tuple[dict[str, bytes], int]:
         at += unsafe(data[10:14]) if data[3] == 4 else 4 + int.from_bytes(data[10:14], "big")
     while data[3] in (3, 4) and at + 10 <= end and data[at] and data[at : at + 4].isalnum():
         size = unsafe(data[at + 4 : at + 8]) if data[3] == 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-        tags.setdefault(data[at : at + 4].decode("latin-1"), data[at + 10 : min(end, at + 10 + size)])
+        tags.setdefault(data[at : at + 4].decode("latin-1"), []).append(data[at + 10 : min(end, at + 10 + size)])
         at += 10 + size
     return tags, end
 
 
-def variable_table(frame: bytes, h: Header) -> tuple[int | None, int | None] | None:
-    """Frames and bytes that a Xing, Info or VBRI table names; None if the frame has no table."""
-    for at in {4 + h.side, 6 + h.side} if h.layer == 3 else ():
+def variable_table(frame: bytes, h: Header) -> tuple[int | None, int | None, list[int]] | None:
+    """Frames, bytes and seek offsets (bytes from this frame's begin) that a Xing, Info or VBRI table names; None without table."""
+    number = lambda at, n: int.from_bytes(frame[at : at + n], "big")
+    for at in (4 + h.side, 6 + h.side) if h.layer == 3 else ():
         if frame[at : at + 4] in (b"Xing", b"Info"):
-            flags, at = int.from_bytes(frame[at + 4 : at + 8], "big"), at + 8
-            found = []
+            flags, at, found = number(at + 4, 4), at + 8, []
             for bit in (1, 2):
-                found.append(int.from_bytes(frame[at : at + 4], "big") if flags & bit else None)
+                found.append(number(at, 4) if flags & bit else None)
                 at += 4 if flags & bit else 0
-            return found[0], found[1]
+            toc = frame[at : at + 100] if flags & 4 else b""
+            return found[0], found[1], [x * found[1] // 256 for x in toc] if found[1] else []
     if frame[36:40] == b"VBRI":
-        return int.from_bytes(frame[50:54], "big"), int.from_bytes(frame[46:50], "big")
+        entries, scale, size = number(54, 2), number(56, 2), number(58, 2)
+        offsets, total = [], len(frame)
+        for k in range(entries if 1 <= size <= 4 else 0):
+            offsets.append(total)
+            total += number(62 + k * size, size) * scale
+        return number(50, 4), number(46, 4), offsets
     return None
 
 
@@ -184,13 +213,21 @@ def parse(data: bytes) -> Audio:
     """Everything that one pass over the file finds."""
     out = Audio()
     out.tags, at = read_tags(data)
-    end = len(data) - 128 if data[-128:-125] == b"TAG" and len(data) - 128 >= at else len(data)
-    carried, first, last, begin = [], True, None, at
+    end = len(data)
+    carried, first, last, begin, free = [], True, None, at, None
     while at + 4 <= end:
+        if at == begin and end - at == 128 and data[at : at + 3] == b"TAG":  # right behind a whole frame, or alone
+            out.end_tag, at = True, end
+            break
         h = header(data[at : at + 4])
-        after = at + h.length if h else 0
-        follows = h is not None and at == begin and last is not None and (h.version, h.layer, h.rate) == (last.version, last.layer, last.rate)
-        if h is None or after > end or (not follows and after + 4 <= end and header(data[after : after + 4]) is None):
+        follows = h is not None and at == begin and last is not None and h.kind == last.kind
+        length = h.length if h else 0
+        if h is not None and not h.bitrate:
+            free = free if follows and free else free_length(data, at, end, h)
+            length = h.length + free if free else end - at + 1
+        after = at + length
+        tagged = end - after == 128 and data[after : after + 3] == b"TAG"
+        if h is None or after > end or (not follows and not tagged and after + 4 <= end and header(data[after : after + 4]) is None):
             sync = data.find(b"\xff", at + 1, end)  # the next place where a header may begin
             out.skipped += (end if sync < 0 else sync) - at
             at = end if sync < 0 else sync
@@ -205,7 +242,8 @@ def parse(data: bytes) -> Audio:
         table = variable_table(frame, h) if first else None
         first = False
         if table is not None:
-            out.table_frames, out.table_bytes = table
+            out.table_frames, out.table_bytes, seek = table
+            out.seek = [at + x for x in seek]
         else:
             out.offsets.append(at)
             out.samples += h.samples
@@ -216,9 +254,10 @@ def parse(data: bytes) -> Audio:
         at = begin = after
         last = h
     out.skipped += max(0, end - at)
-    owner, _, size = out.tags.get("PRIV", b"").partition(b"\0")
-    if owner == OWNER:
-        out.payload = b"".join(carried)[: int.from_bytes(size, "big")]
+    for private in out.tags.get("PRIV", []):
+        owner, _, size = private.partition(b"\0")
+        if owner == OWNER and out.payload is None:
+            out.payload = b"".join(carried)[: int.from_bytes(size, "big")]
     return out
 
 
@@ -241,7 +280,10 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
-FOUND = "payload binary, frames long, samples long, sample_rate int, duration_s double, crc_good long, crc_bad long, unchecked long, skipped_bytes long, table_frames long, table_bytes long, frame_offsets array<long>, feature string"
+FOUND = (
+    "payload binary, frames long, samples long, sample_rate int, duration_s double, crc_good long, crc_bad long, unchecked long, skipped_bytes long, "
+    "table_frames long, table_bytes long, frame_offsets array<long>, seek_offsets array<long>, feature string"
+)
 
 
 def read(media: DataFrame, keys: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
@@ -257,10 +299,10 @@ def read(media: DataFrame, keys: tuple[str, ...] = ("doc_id", "n_bytes")) -> Dat
         a = parse(data)
         vbr = len(a.bitrates) > 1
         words = {"mpeg": {3: "1", 2: "2", 0: "2.5"}.get(a.version, "-"), "layer": a.layer, "rate": a.rate, "frames": len(a.offsets), "samples": a.samples, "vbr": int(vbr), "kbps": "/".join(map(str, sorted(a.bitrates))) or "-", "crc_good": a.crc_good, "crc_bad": a.crc_bad, "skipped": a.skipped, "table": a.table_frames, "last_frame": a.offsets[-1] if a.offsets else "-"}
-        return (a.payload, len(a.offsets), a.samples, a.rate, a.samples / a.rate if a.rate else 0.0, a.crc_good, a.crc_bad, a.unchecked, a.skipped, a.table_frames, a.table_bytes, a.offsets, ";".join(f"{k}={v}" for k, v in words.items()))
+        return (a.payload, len(a.offsets), a.samples, a.rate, a.samples / a.rate if a.rate else 0.0, a.crc_good, a.crc_bad, a.unchecked, a.skipped, a.table_frames, a.table_bytes, a.offsets, a.seek, ";".join(f"{k}={v}" for k, v in words.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), *[pa.int64()] * 6, pa.list_(pa.int64()), pa.string()]
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), *[pa.int64()] * 6, *[pa.list_(pa.int64())] * 2, pa.string()]
         for b in batches:
             rows = [values(m) for m in b.column("media").to_pylist()]
             found = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
