@@ -30,7 +30,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.session import few, map_rows, resident, small_arrow_batches
+from leafmill.llm.samples import one_per_bucket
+from leafmill.session import map_rows, resident, small_arrow_batches
 
 WORD = regex.compile(r"\p{L}+")
 BUCKETS = 1 << 17
@@ -193,28 +194,15 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 
 def sample(docs: DataFrame, label: str, per_label: int, max_words: int) -> list[tuple[str, list[str]]]:
-    """At most per_label texts of each label, as (label, up to max_words words in a row), chosen by hash of doc_id.
+    """At most per_label texts of each label, as (label, up to max_words words in a row), chosen by hash of doc_id."""
 
-    Each label's rows are dealt to per_label hash buckets and the least hash of a bucket is taken: a map-side minimum.
-    """
-    order = F.xxhash64("doc_id")
-    chosen = docs.select(F.col(label).alias("label"), "doc_id").where(F.col(label).isNotNull()).groupBy("label", F.pmod(order, F.lit(per_label)).alias("bucket")).agg(F.min(F.struct(order.alias("h"), F.col("doc_id"))).alias("m"))
-    ids = few(chosen.select(F.col("m.doc_id").alias("doc_id")).distinct())
-    rows = docs.select("doc_id", F.col(label).alias("label"), "text").where("label is not null").join(ids, "doc_id", "left_semi")
-    small_arrow_batches(docs.sparkSession)
+    def piece(doc_id: object, text: str | None) -> str:
+        cut = words(text)
+        begin = crc32(str(doc_id).encode()) * 2654435761 % (max(0, len(cut) - max_words) + 1)
+        return " ".join(cut[begin : begin + max_words])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                cut = words(t)
-                spare = max(0, len(cut) - max_words)
-                begin = crc32(str(i).encode()) * 2654435761 % (spare + 1)
-                out.append(" ".join(cut[begin : begin + max_words]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(b.column("label").to_pylist(), pa.string()), pa.array(out, pa.string())], names=["doc_id", "label", "text"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.select("doc_id", F.col("label").cast("string"), "text").mapInArrow(run, f"doc_id {kind}, label string, text string").collect()
+    rows = docs.select("doc_id", F.col(label).cast("string").alias("label"), "text")
+    found = one_per_bucket(rows, rows.select("doc_id", "label"), per_label, piece, ["doc_id", "label"])
     return [(r["label"], r["text"].split(" ")) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"])) if r["text"]]
 
 

@@ -5,8 +5,8 @@ a learned layer makes an embedding of it, gated attention (tanh times sigmoid) a
 logistic function of the weighted sum of its passages' embeddings. Labels are of documents only; attention learns which
 passages decide.
 
-Training takes a bounded sample (`per_class` labelled rows of each class, `max_passages` passages in a row from a place
-chosen by hash) to the driver. The model has a fixed size and is sent to all tasks; whole texts are scored where they are
+Training takes a bounded sample (at most `per_class` labelled rows of each class, one of each doc_id, `max_passages` passages
+in a row from a place chosen by hash) to the driver. The model has a fixed size and is sent to all tasks; whole texts are scored where they are
 read, and nothing is shuffled.
 
 Defined results: null and empty texts are a bag of one empty passage and get that bag's score; with no labels, or labels
@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.langid import held_out, split_texts
-from leafmill.session import few, small_arrow_batches
+from leafmill.llm.samples import one_per_bucket
+from leafmill.session import small_arrow_batches
 
 PASSAGE = 64
 WORDS = 512
@@ -142,24 +143,16 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, batch: int = 32
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1200, max_passages: int = 48) -> Model:
     """Learn from the labelled rows among docs: labels has doc_id and a column of 0 and 1."""
-    order = F.xxhash64("doc_id")
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
-    chosen = known.groupBy("y", F.pmod(order, F.lit(per_class)).alias("bucket")).agg(F.min(F.struct(order.alias("h"), F.col("doc_id"))).alias("m")).select("y", F.col("m.doc_id").alias("doc_id"))
-    rows = docs.select("doc_id", "text").join(few(chosen), "doc_id")
-    small_arrow_batches(docs.sparkSession)
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label in (0, 1)")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                bag = passages(t)
-                begin = crc32(str(i).encode()) * 2654435761 % (max(0, len(bag) - max_passages) + 1)
-                out.append(" ".join(chain.from_iterable(bag[begin : begin + max_passages])))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(out, pa.string())], names=["doc_id", "y", "text"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    found = sorted(rows.select("doc_id", "y", "text").mapInArrow(run, f"doc_id {kind}, y int, text string").collect(), key=lambda r: (r["doc_id"], r["y"], r["text"]))
-    return train([r["text"] for r in found], [r["y"] for r in found])
+    def piece(doc_id: object, text: str | None) -> str:
+        bag = passages(text)
+        begin = crc32(str(doc_id).encode()) * 2654435761 % (max(0, len(bag) - max_passages) + 1)
+        return " ".join(chain.from_iterable(bag[begin : begin + max_passages]))
+
+    rows = one_per_bucket(docs.select("doc_id", "text"), known, per_class, piece, ["doc_id"])
+    found = sorted(rows, key=lambda r: (r["doc_id"], r["label"], r["text"]))
+    return train([r["text"] for r in found], [r["label"] for r in found])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

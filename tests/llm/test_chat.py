@@ -88,3 +88,10 @@ def test_nulls_ties_empty_and_long(spark):
     }
     assert chat.windows(df.limit(0)).count() == 0
     assert chat.windows(df.where("conv_id = 3")).count() > 5
+
+
+def test_ids_of_any_type(spark):
+    rows = [("b", 1, "assistant", "no"), ("a", 0, "user", "hi"), (None, 0, "user", "x"), ("b", 0, "user", "hm")]
+    df = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.digests(chat.windows(df)).collect()}
+    assert got == {"a": (1, 0), "b": (2, 2), None: (1, 0)}
