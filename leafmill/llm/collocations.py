@@ -31,7 +31,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,20 +39,23 @@ from leafmill.session import checkpoint_dir, few, small_arrow_batches
 
 SHARD = 1_000_000  # words
 WORD, GAP, END = 0, 1, 2
-KIND = np.zeros(256, dtype=np.uint8)
-KIND[[9, 32]] = GAP
-KIND[[*b".,;:!?", 10, 11, 12, 13]] = END
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[ord("A") : ord("Z") + 1] += 32
+#: What each byte is, and A-Z in lower case, as tables for bytes.translate.
+KIND = bytes(END if c in b".,;:!?\n\v\f\r" else GAP if c in b" \t" else WORD for c in range(256))
+LOWER = bytes(range(256)).lower()
 NEXT = np.uint64(0x9E3779B97F4A7C15)
 HASH, PROBES = 44, (0, 18)  # bits of a phrase's hash, and where the bitmaps take theirs
 MASK = np.uint64((1 << HASH) - 1)
+VALUES = bitmap.mixed(np.arange(1, 257, dtype=np.uint64) * NEXT)
 
 
 def spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends of the runs of True."""
-    edges = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
-    return np.nonzero(edges == 1)[0], np.nonzero(edges == -1)[0]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(inside) and inside[0]:
+        edges = np.concatenate(([0], edges))
+    if len(inside) and inside[-1]:
+        edges = np.concatenate((edges, [len(inside)]))
+    return edges[::2], edges[1::2]
 
 
 def dictionary(data: np.ndarray, inside: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
@@ -64,21 +66,35 @@ def dictionary(data: np.ndarray, inside: np.ndarray, begins: np.ndarray, ends: n
     return coded.indices.to_numpy(), coded.dictionary
 
 
+def text_hashes(texts: pa.Array) -> np.ndarray:
+    """A hash of each text, from its bytes."""
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    sizes = np.diff(offsets)
+    if not len(sizes):
+        return np.zeros(0, dtype=np.uint64)
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    powers = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(int(sizes.max()), NEXT))))
+    values = VALUES[data] * powers[np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], sizes)]
+    return bitmap.mixed(np.add.reduceat(values, offsets[:-1] - offsets[0]) + sizes.astype(np.uint64))
+
+
 class Words:
     """The words of some texts: `ids` (0 at boundaries), the text of each id, and what bitmaps know it by."""
 
     def __init__(self, texts: list[str | None], langs: list[str]):
         raw = [(t or "").encode() for t in texts]
-        data = LOWER[np.frombuffer(b"\n".join(raw), dtype=np.uint8)]
-        kind = KIND[data]
-        begins, ends = spans(kind == WORD)
-        indices, self.texts = dictionary(data, kind == WORD, begins, ends)
+        joined = b"\n".join(raw)
+        data = np.frombuffer(joined.translate(LOWER), dtype=np.uint8)
+        kind = np.frombuffer(joined.translate(KIND), dtype=np.uint8)
+        inside = kind == WORD
+        begins, ends = spans(inside)
+        indices, self.texts = dictionary(data, inside, begins, ends)
         self.langs = sorted(set(langs))
         number = {x: k for k, x in enumerate(self.langs)}
         starts = np.cumsum([0, *(len(x) + 1 for x in raw)])
         held = np.diff(np.searchsorted(begins, starts))  # words of each text
         lang = np.repeat(np.array([number[x] for x in langs], dtype=np.int64), held)
-        passed = np.cumsum(kind == END, dtype=np.int64)[begins]
+        passed = np.searchsorted(np.flatnonzero(kind == END), begins)
         broken = np.concatenate(([0], (np.diff(passed) > 0).astype(np.int64))) if len(begins) else passed
         pairs = lang * len(self.texts) + indices
         seen = np.zeros(len(self.langs) * len(self.texts), dtype=bool)
@@ -86,19 +102,19 @@ class Words:
         self.used = np.flatnonzero(seen)  # of each id, from 1: its lang's number and its text's
         self.ids = np.zeros(len(begins) + int(broken.sum()), dtype=np.int64)
         self.ids[np.arange(len(begins)) + np.cumsum(broken)] = np.cumsum(seen)[pairs]
-        names = self.texts.to_pylist()
-        keys = (f"{self.langs[i // len(names)]}\0{names[i % len(names)]}" for i in self.used.tolist())
-        hashed = np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), dtype=np.uint64, count=len(self.used))
+        n = max(1, len(self.texts))
+        of_lang = text_hashes(pa.array([x + "\n" for x in self.langs], pa.large_string()))
+        hashed = bitmap.mixed(text_hashes(self.texts)[self.used % n] + of_lang[self.used // n] * NEXT)
         self.hashes = np.concatenate((np.zeros(1, dtype=np.uint64), hashed & MASK))  # by id
 
-    def phrases(self, at: np.ndarray, size: int, ids: np.ndarray) -> tuple[pa.Array, pa.Array]:
-        """Lang and text of the phrases of so many words that begin at these places."""
+    def phrases(self, at: np.ndarray, size: int, ids: np.ndarray) -> pa.Array:
+        """lang, a newline and the phrase of so many words that begins at each place. Neither words nor phrases hold a newline."""
         used = self.used if len(self.used) else np.zeros(1, dtype=np.int64)
         found, n = [used[ids[at + j] - 1] for j in range(size)], max(1, len(self.texts))
-        lang = pa.array(self.langs, pa.string()).take(pa.array(found[0] // n))
-        cut = [self.texts.take(pa.array(x % n)) for x in found]
-        joined = cut[0] if size == 1 else pc.binary_join_element_wise(*cut, pa.scalar(" ", pa.large_string()))
-        return lang, joined.cast(pa.string())
+        lang = pa.array([x + "\n" for x in self.langs], pa.large_string()).take(pa.array(found[0] // n))
+        cut, joint = [self.texts.take(pa.array(x % n)) for x in found], lambda c: pa.scalar(c, pa.large_string())
+        phrase = cut[0] if size == 1 else pc.binary_join_element_wise(*cut, joint(" "))
+        return pc.binary_join_element_wise(lang, phrase, joint("")).cast(pa.string())
 
 
 def suffix_order(ids: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
@@ -163,7 +179,9 @@ def counted_hashes(docs: DataFrame, size: int, maps: dict[int, np.ndarray], min_
                 if size > 1:
                     at = at[possible(ids, at, hashes, size, sent.value)]
                 for _, first, n in intervals(ids, suffix_order(ids, at, size), [size]):
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[size - 1][first].view(np.int64)), pa.array(n)], names=["h", "n"])
+                    h = hashes[size - 1][first].view(np.int64)
+                    order = np.argsort(h)  # neighbours that are alike take less room in the shuffle
+                    yield pa.RecordBatch.from_arrays([pa.array(h[order]), pa.array(n[order])], names=["h", "n"])
 
     counts = docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     return counts.where(F.col("n") >= min_count).select("h")
@@ -191,24 +209,26 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10) -> D
     sent = spark.sparkContext.broadcast(maps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "size", "phrase", "n"]
         for b in batches:
             words = Words(b.column("text").to_pylist(), b.column("lang").to_pylist())
             lang_of = words.used[words.ids[words.ids > 0] - 1] // max(1, len(words.texts))
             of_lang = np.bincount(lang_of, minlength=len(words.langs))
-            whole = [pa.array(words.langs), pa.array([0] * len(words.langs), pa.int32()), pa.array([""] * len(words.langs)), pa.array(of_lang)]
-            yield pa.RecordBatch.from_arrays(whole, names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([x + "\n" for x in words.langs], pa.string()), pa.array(of_lang)], names=["key", "n"])
             for ids, at, hashes in shards(words, max_words, sent.value):
                 for m, first, n in intervals(ids, suffix_order(ids, at, max_words), list(range(1, max_words + 1))):
                     ok = possible(ids, first, hashes, m, sent.value)
                     if m > 1:
                         ok[ok] = bitmap.holds(sent.value[m], hashes[m - 1][first[ok]], PROBES)
-                    lang, phrase = words.phrases(first[ok], m, ids)
-                    yield pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(phrase), m, np.int32)), phrase, pa.array(n[ok])], names=names)
-
-    counts = narrow.mapInArrow(run, "lang string, size int, phrase string, n long")
-    summed = counts.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
-    return summed.where((F.col("n") >= min_count) | (F.col("size") == 0))
+                    keys = words.phrases(first[ok], m, ids)
+                    order = pc.sort_indices(keys)
+                    yield pa.RecordBatch.from_arrays([keys.take(order), pa.array(n[ok]).take(order)], names=["key", "n"])
+
+    summed = narrow.mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    phrase = F.substring_index("key", "\n", -1)
+    size = F.when(phrase == "", 0).otherwise(F.length(phrase) - F.length(F.replace(phrase, F.lit(" "), F.lit(""))) + 1)
+    lang = F.substring("key", F.lit(1), F.length("key") - F.length(phrase) - 1)
+    found = summed.select(lang.alias("lang"), size.alias("size"), phrase.alias("phrase"), "n")
+    return found.where((F.col("n") >= min_count) | (F.col("size") == 0))
 
 
 SCORE = """cast((1000000BD * cast(a as decimal(15,0)) * cast(a as decimal(15,0)))

@@ -57,7 +57,7 @@ CRC = _crc_table()
 def runs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Of the texts' runs of letters: their text's number, index among the distinct ones, and those."""
     raw = [(t or "").encode() for t in texts]
-    data = LOWER[np.frombuffer(b"\n".join(raw), dtype=np.uint8)]
+    data = np.frombuffer(b"\n".join(raw).translate(LOWER), dtype=np.uint8)
     lead = data == 0xC3  # U+00C0 to U+00FF are this byte and the next
     inside = SMALL[data] | lead
     inside[1:] |= lead[:-1]

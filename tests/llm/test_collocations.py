@@ -72,8 +72,7 @@ def test_shards_of_any_size_agree(spark, monkeypatch):
         found = Counter()
         for ids, at, _ in collocations.shards(words, 3, {}):
             for m, first, n in collocations.intervals(ids, collocations.suffix_order(ids, at, 3), [1, 2, 3]):
-                lang, phrase = words.phrases(first, m, ids)
-                found.update(dict(zip(zip(lang.to_pylist(), phrase.to_pylist(), [m] * len(n), strict=True), n.tolist(), strict=True)))
+                found.update(dict(zip(words.phrases(first, m, ids).to_pylist(), n.tolist(), strict=True)))
         counts.append(found)
     assert counts[0] == counts[1] == counts[2] == counts[3] and whole
 
