@@ -154,41 +154,44 @@ def relative_lines(cut: DataFrame, held_tokens: DataFrame, min_docs: int, leadin
     one = [F.first(c).alias(c) for c in ("leaf", "size", "kept")]
     found = own.groupBy("template").agg(F.sum("n").alias("held"), F.count("*").alias("rows"), *one).where(F.col("held") >= min_docs).checkpoint()
     known = found.select("template", "rows")
-    here = joined(own.select("lh", "n", "template"), known, ["template"], "rows", own.count()).select("lh", "template", "n").checkpoint()
-    leaves = few(found.select("leaf").distinct())
-    rest = cut.join(here.select("lh"), "lh", "left_anti").join(leaves, "leaf", "left_semi")
-    lines = rest.select("lh", "n", "leaf", "cut", F.explode(group_keys(F.col("cut"), F.size("cut"), leading, similarity)).alias("k")).checkpoint()
-    patterns = all_patterns(found, own, here, cut, few(lines.select("leaf").distinct()), min_docs)
-    keyed = patterns.select("leaf", F.explode(group_keys(F.col("pattern"), F.size("pattern"), leading, similarity)).alias("k"), "held", "template", "pattern").where("k is not null")
-    keyed = keyed.join(few(lines.select("leaf", "k").distinct()), ["leaf", "k"], "left_semi").checkpoint()
-    top = F.max(F.struct("held", "template", "pattern")).alias("top")
-    heads = keyed.groupBy("leaf", "k").agg(top, F.count("*").alias("patterns")).select("leaf", "k", "top.*", "patterns").checkpoint()
-    first = similar_lines(lines, heads, similarity).checkpoint()
-    more = few(heads.where("patterns > 1").select("leaf", "k"))
-    left = lines.join(first.select("lh"), "lh", "left_anti").join(more, ["leaf", "k"], "left_semi")
-    second = similar_lines(left, keyed.join(more, ["leaf", "k"], "left_semi"), similarity)
+    here = joined(own.select("lh", "n", "template"), known, ["template"], "rows", own.count()).select("lh", "template", "n")
+    rest = cut.join(here.select("lh"), "lh", "left_anti").join(few(found.select("leaf").distinct()), "leaf", "left_semi")
+    lines = rest.select("lh", "leaf", F.explode(group_keys(F.col("cut"), F.size("cut"), leading, similarity)).alias("k")).checkpoint()
+    patterns = all_patterns(found, own, cut, few(lines.select("leaf").distinct()), min_docs).checkpoint()
+    keys = group_keys(F.col("pattern"), F.size("pattern"), leading, similarity)
+    keyed = patterns.select("leaf", F.explode(keys).alias("k"), "held", "pattern_id").where("k is not null")
+    heads = keyed.groupBy("leaf", "k").agg(F.max(F.struct("held", "pattern_id"))["pattern_id"].alias("pattern_id"), F.count("*").alias("patterns"))
+    weighed = heads.join(lines.groupBy("leaf", "k").agg(F.count("*").alias("rows")), ["leaf", "k"]).checkpoint()
+    pairs = joined(lines, weighed.drop("patterns"), ["leaf", "k"], "rows", lines.count()).select("lh", "pattern_id").distinct().checkpoint()
+    asked = patterns.join(pairs.groupBy("pattern_id").agg(F.count("*").alias("rows")), "pattern_id").select("pattern_id", "template", "pattern", "rows").checkpoint()
+    met = joined(pairs.join(cut.select("lh", "n", "cut"), "lh"), asked, ["pattern_id"], "rows", pairs.count())
+    first = most_alike(met, similarity).checkpoint()
+    more = few(weighed.where("patterns > 1").select("leaf", "k"))
+    left = lines.join(first.select("lh"), "lh", "left_anti").join(more, ["leaf", "k"], "left_semi").join(cut.select("lh", "n", "cut"), "lh")
+    others = keyed.join(more, ["leaf", "k"], "left_semi").join(patterns.select("pattern_id", "template", "pattern"), "pattern_id")
+    second = most_alike(left.join(others.select("leaf", "k", "template", "pattern"), ["leaf", "k"]), similarity)
     return here.unionByName(first).unionByName(second)
 
 
-def all_patterns(found: DataFrame, own: DataFrame, here: DataFrame, cut: DataFrame, leaves: DataFrame, min_docs: int) -> DataFrame:
-    """leaf, template, held, pattern (null at variable fields) of the leaves: recurring templates, and lines that recur themselves."""
+def all_patterns(found: DataFrame, own: DataFrame, cut: DataFrame, leaves: DataFrame, min_docs: int) -> DataFrame:
+    """pattern_id, leaf, template, held, pattern (null at variable fields) of the leaves: recurring templates, and lines with
+    variable fields that recur as they stand."""
     constants = F.map_from_entries("kept")
     pattern = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.element_at(constants, i))
-    general = found.join(leaves, "leaf", "left_semi").select("leaf", "template", "held", pattern.alias("pattern"))
-    whole = cut.where(F.col("n") >= min_docs).join(leaves, "leaf", "left_semi").join(here.select("lh", "template"), "lh")
-    return general.unionByName(whole.select("leaf", "template", F.col("n").alias("held"), F.col("cut").alias("pattern"))).distinct()
+    general = found.join(leaves, "leaf", "left_semi").select(F.col("template").alias("pattern_id"), "leaf", "template", "held", pattern.alias("pattern"))
+    varied = own.where((F.col("n") >= min_docs) & (F.size("kept") < F.col("size"))).join(leaves, "leaf", "left_semi")
+    whole = varied.select("lh", "leaf", "template", F.col("n").alias("held")).join(cut.select("lh", F.col("cut").alias("pattern")), "lh")
+    return general.unionByName(whole.select(F.xxhash64("template", "lh").alias("pattern_id"), "leaf", "template", "held", "pattern"))
 
 
-def similar_lines(lines: DataFrame, patterns: DataFrame, similarity: float) -> DataFrame:
-    """(lh, template, n) of the lines (leaf, k, lh, n, cut) that are similar to a pattern (leaf, k, template, pattern) of their groups.
+def most_alike(met: DataFrame, similarity: float) -> DataFrame:
+    """(lh, template, n) of lines that are similar to a pattern they meet (lh, n, cut, template, pattern): each one's best.
 
-    Only similar pairs come out of the join, and are reduced to a line's best before they are shuffled.
+    Only similar pairs go on, and are reduced to a line's best before they are shuffled.
     """
     alike = F.size(F.filter(F.zip_with("cut", "pattern", lambda a, b: a == b), lambda x: x))
-    met = lines.join(patterns.select("leaf", "k", "template", "pattern"), ["leaf", "k"])
-    near = met.select("lh", "n", "template", alike.alias("alike"), F.size("cut").alias("size"))
-    near = near.where(F.col("alike") >= similarity * F.col("size") - 1e-9)
-    return near.groupBy("lh", "n").agg(F.max(F.struct("alike", "template"))["template"].alias("template")).select("lh", "template", "n")
+    near = met.where(alike >= similarity * F.size("cut") - 1e-9).select("lh", "n", F.struct(alike.alias("alike"), "template").alias("x"))
+    return near.groupBy("lh", "n").agg(F.max("x")["template"].alias("template")).select("lh", "template", "n")
 
 
 def dedup_lines(
