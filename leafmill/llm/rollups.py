@@ -6,7 +6,9 @@ before the shuffle, so a hot source is a row per task) and committed as a small
 A batch counts once its _SUCCESS marker stands; committing a batch that stands does nothing, and one that was cut short
 is written anew, so batches can be sent again. `compact` sums committed batches into a snapshot with the list of what it
 holds, written before its own marker; totals read the newest snapshot and the batches that it lacks. A compaction removes
-the batches that the snapshot before it held already, so whoever reads while one runs still finds what it has listed. One
+the batches that the snapshot before it held already, and the snapshots before that one, so whoever reads while one runs
+still finds what it has listed. A compaction that was cut short has no marker: it is not read, and the next one goes beyond
+it. The list of what a snapshot holds is a table; the driver sees only the names of batches that are still there. One
 process commits or compacts at a time; two that commit the same batch at once may both write it, and the last one counts.
 
 Counts of a tokenizer version are a caller's column (`n_tokens` of `bpe.encode`, say), or by one of PATTERNS.
@@ -74,17 +76,23 @@ class Rollups:
     def commit(self, batch: str, signed: DataFrame) -> bool:
         """Add a batch of signed rows; False if it was committed before."""
         name = quote(batch, safe="")
-        held = self._newest()
-        if name in self._names("batches") or (held and name in held[1]):
+        if name in self._names("batches") or self._held([name]):
             return False
         sums = signed.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batches/{name}")
+        sums.write.mode("overwrite").parquet(f"{self.path}/batches/{name}")
         return True
 
-    def _newest(self) -> tuple[str, set[str]] | None:
-        for name in reversed(self._names("manifests")):
-            return name, {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/manifests/{name}").collect()}
-        return None
+    def _newest(self) -> str | None:
+        """The newest snapshot's name."""
+        return next(reversed(self._names("manifests")), None)
+
+    def _manifest(self, name: str) -> DataFrame:
+        return self.spark.read.schema("batch string").parquet(f"{self.path}/manifests/{name}")
+
+    def _held(self, names: list[str], snapshot: str | None = None) -> set[str]:
+        """Which of some batches a snapshot (the newest) holds."""
+        snapshot = snapshot or self._newest()
+        return {r["batch"] for r in self._manifest(snapshot).where(F.col("batch").isin(names)).distinct().collect()} if snapshot and names else set()
 
     def _sum(self, frames: list[DataFrame]) -> DataFrame:
         every = self.spark.createDataFrame([], self.SCHEMA)
@@ -92,30 +100,35 @@ class Rollups:
             every = every.unionByName(f)
         return every.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
-    def _parts(self) -> tuple[list[DataFrame], set[str]]:
-        read = self.spark.read.schema(self.SCHEMA)
-        newest = self._newest()
-        held = newest[1] if newest else set()
-        fresh = [n for n in self._names("batches") if n not in held]
-        frames = [read.parquet(f"{self.path}/snapshots/{newest[0]}")] if newest else []
+    def _parts(self) -> tuple[list[DataFrame], list[str]]:
+        """What totals are the sum of, and the batches that the newest snapshot lacks."""
+        read, newest = self.spark.read.schema(self.SCHEMA), self._newest()
+        there = self._names("batches")
+        held = self._held(there, newest)
+        fresh = [n for n in there if n not in held]
+        frames = [read.parquet(f"{self.path}/snapshots/{newest}")] if newest else []
         if fresh:
             frames.append(read.parquet(*[f"{self.path}/batches/{n}" for n in fresh]))
-        return frames, held | set(fresh)
+        return frames, fresh
 
     def totals(self) -> DataFrame:
         """Totals over all committed batches."""
         return self._sum(self._parts()[0])
 
     def compact(self) -> None:
-        """Sum what is committed into a new snapshot; batches that the snapshot before held are then removed."""
-        before = self._newest()
-        frames, held = self._parts()
-        name = f"{len(held):012d}-{uuid4().hex}"
-        self._sum(frames).coalesce(1).write.parquet(f"{self.path}/snapshots/{name}")
-        self.spark.createDataFrame([(n,) for n in sorted(held)], "batch string").coalesce(1).write.parquet(f"{self.path}/manifests/{name}")
-        for n in self._names("batches"):
-            if before and n in before[1]:
-                self._fs.delete(self._Path(f"{self.path}/batches/{n}"), True)
+        """Sum what is committed into a new snapshot; what only older ones need is then removed."""
+        before, older = self._newest(), self._names("manifests")[:-1]
+        done = self._held(self._names("batches"), before)
+        frames, fresh = self._parts()
+        name = f"{int(before.partition('-')[0]) + 1 if before else 1:012d}-{uuid4().hex}"
+        self._sum(frames).write.parquet(f"{self.path}/snapshots/{name}")
+        names = self.spark.createDataFrame([(n,) for n in fresh], "batch string")
+        (names.unionByName(self._manifest(before)) if before else names).coalesce(1).write.parquet(f"{self.path}/manifests/{name}")
+        for n in done:
+            self._fs.delete(self._Path(f"{self.path}/batches/{n}"), True)
+        for n in older:
+            for kind in ("manifests", "snapshots"):
+                self._fs.delete(self._Path(f"{self.path}/{kind}/{n}"), True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
