@@ -140,7 +140,7 @@ def filter_raw(rows: DataFrame, config: FilterConfig) -> DataFrame:
     else:
         special = {"_id": F.col("element_id") if config.include_element_ids else None, "pageNumber": first("pageNumber", "page_number"), "elementType": first("elementType", "role", "type"), "parentSection": F.col("parent_section"), "elementIndex": F.col("seq").cast("string")}
         entries = [entry(n, special.get(n, f[n])) for n in fields if special.get(n, n) is not None]
-        some = F.filter(F.array(*entries), lambda x: F.coalesce(x["value"], F.lit("")) != "")
+        some = F.filter(F.array(*entries), lambda x: x["value"].isNotNull())
         content = F.array(entry("content", stripped(f["content"])))
         out = F.when((F.size(some) > 0) & ~F.exists(some, lambda x: x["key"] == "content"), F.concat(some, content)).otherwise(some)
     return kept.select("doc_id", index.alias("filtered_index"), "element_id", F.map_from_entries(out).alias("fields"))

@@ -40,8 +40,16 @@ def batch_offsets(batches: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def stitch(elements: DataFrame, batches: DataFrame, key: str = "doc_id") -> DataFrame:
-    """elements with span_offset, page_number and the pages of `regions` (if there) raised by their batch's offsets."""
+    """elements with span_offset, page_number and the pages of `regions` (if there) raised by their batch's offsets.
+
+    Where elements have a `kind` and batches a `given_offset`, that of a document's first batch moves pages, paragraphs and
+    tables only, and leaves words, lines and selection marks at their own pages.
+    """
     raised = elements.join(batch_offsets(batches, key), [key, "batch_no"])
+    if "kind" in elements.columns and "given_offset" in batches.columns:
+        first = batches.groupBy(key).agg(F.min("batch_no").alias("__first"))
+        stays = (F.col("batch_no") == F.col("__first")) & F.col("kind").isin("words", "lines", "selectionMarks")
+        raised = raised.join(first, key).withColumn("page_offset", F.when(stays, 0).otherwise(F.col("page_offset"))).drop("__first")
     if "regions" in elements.columns:
         raised = raised.withColumn("regions", raise_regions(F.col("regions"), F.col("page_offset")))
     return raised.withColumn("span_offset", F.col("span_offset") + F.col("content_offset")).withColumn("page_number", F.col("page_number") + F.col("page_offset")).drop("content_offset", "page_offset")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmill.plans import filtering, layout, markup, privacy, segments
+from leafmill.plans import events, filtering, layout, markup, privacy, segments
 
-QUERIES = {**layout.QUERIES, **filtering.QUERIES, **segments.QUERIES, **privacy.QUERIES, **markup.QUERIES}
-ORACLE_SQL = {**layout.ORACLE_SQL, **filtering.ORACLE_SQL, **segments.ORACLE_SQL, **privacy.ORACLE_SQL, **markup.ORACLE_SQL}
+QUERIES = {**layout.QUERIES, **filtering.QUERIES, **segments.QUERIES, **privacy.QUERIES, **markup.QUERIES, **events.QUERIES}
+ORACLE_SQL = {**layout.ORACLE_SQL, **filtering.ORACLE_SQL, **segments.ORACLE_SQL, **privacy.ORACLE_SQL, **markup.ORACLE_SQL, **events.ORACLE_SQL}

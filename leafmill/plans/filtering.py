@@ -71,10 +71,6 @@ def excluded_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtering.excluded_fields(layout_elements(spark, sf_dir), FilterConfig("citation_optimized"))
 
 
-def filter_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filtering.presets(spark)
-
-
 def _size_sql(fields: list[str], ascii_only: bool) -> str:
     n = lambda c, e: f"len(regexp_extract_all({c}, '{e}'))"
     gap = 2 if ascii_only else 1
@@ -107,7 +103,6 @@ QUERIES = {f"filter_{p}": partial(_filter, FilterConfig(p)) for p in PRESETS} |
     "filter_raw_all": partial(_raw, FilterConfig("no_filter")),
     "filter_raw_llm_ready": partial(_raw, FilterConfig("llm_ready")),
     "excluded_fields": excluded_fields,
-    "filter_presets": filter_presets,
 }
 ORACLE_SQL = {f"filter_{p}": _sql(f) for p, f in PRESETS.items()} | {
     "filter_custom": _sql(CUSTOM.fields),
@@ -119,5 +114,4 @@ ORACLE_SQL = {f"filter_{p}": _sql(f) for p, f in PRESETS.items()} | {
 SELECT *, round((total_elements - filtered_elements) * 100.0::DOUBLE / total_elements, 6) AS dropped_percent FROM n""",
     "excluded_fields": f"""WITH {PARAGRAPHS}, {ELEMENTS}, left_over AS (SELECT doc_id, unnest(keys) AS field FROM elements WHERE {BLANK_SAFE})
 SELECT doc_id, string_agg(field, ',' ORDER BY field) AS excluded_fields FROM (SELECT DISTINCT doc_id, field FROM left_over WHERE field NOT IN ('_id', 'id', 'content', 'pageNumber', 'elementIndex', 'pageFooter')) d GROUP BY doc_id""",
-    "filter_presets": " UNION ALL ".join(f"SELECT '{p}' AS preset, '{','.join(f)}' AS fields, '{DESCRIPTIONS[p]}' AS description" for p, f in PRESETS.items()),
 }

@@ -83,11 +83,13 @@ def id_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each paragraph as a page's word (its first) and line, and as the document's paragraph; a pair for each document."""
+    """Each paragraph's words as a page's, its whole as a line and as the document's paragraph; a pair for each document."""
     p = paragraphs(spark, sf_dir)
     none = F.lit(None).cast("long")
     on_page = [F.lit("page").alias("scope"), (F.col("page_number") - 1).alias("page_idx"), "page_number", none.alias("own_page"), none.alias("region_page"), F.col("seq").alias("arr_idx")]
-    words = p.select("doc_id", F.lit("words").alias("kind"), *on_page, F.substring_index("content", " ", 1).alias("content"))
+    each = p.select("doc_id", "page_number", "seq", F.posexplode(F.split("content", " ")).alias("at", "content"))
+    place = (F.col("seq") * 1_000_000 + F.col("at")).alias("arr_idx")  # words of a page in order
+    words = each.select("doc_id", F.lit("words").alias("kind"), *on_page[:-1], place, "content")
     lines = p.select("doc_id", F.lit("lines").alias("kind"), *on_page, "content")
     whole = [F.lit("doc").alias("scope"), none.alias("page_idx"), none.alias("page_number")]
     own = F.when(F.pmod("seq", F.lit(3)) == 0, F.col("page_number"))
@@ -99,7 +101,8 @@ def scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("unnest_reading_order", f"""
 WITH {PARAGRAPHS}, walk AS (
-  SELECT doc_id, 0 AS s, page_number AS p, 1 AS k, seq AS a, 'word' AS element_type, page_number, split_part(content, ' ', 1) AS content FROM para
+  SELECT doc_id, 0 AS s, page_number AS p, 1 AS k, seq * 1000000 + at_word AS a, 'word' AS element_type, page_number, word AS content
+    FROM (SELECT doc_id, page_number, seq, unnest(string_split(content, ' ')) AS word, unnest(range(len(string_split(content, ' ')))) AS at_word FROM para)
   UNION ALL SELECT doc_id, 0, page_number, 2, seq, 'line', page_number, content FROM para
   UNION ALL SELECT doc_id, 1, 0, 1, seq, 'paragraph', CASE WHEN seq % 3 IN (0, 1) THEN page_number END, content FROM para
   UNION ALL SELECT doc_id, 1, 0, 5, 0, 'keyValuePair', NULL, NULL FROM documents
