@@ -43,7 +43,7 @@ WORD, GAP, END = 0, 1, 2
 KIND = bytes(END if c in b".,;:!?\n\v\f\r" else GAP if c in b" \t" else WORD for c in range(256))
 LOWER = bytes(range(256)).lower()
 NEXT = np.uint64(0x9E3779B97F4A7C15)
-HASH, PROBES = 44, (0, 18)  # bits of a phrase's hash, and where the bitmaps take theirs
+HASH, PROBES = 40, (0, 14)  # bits of a phrase's hash, and where the bitmaps take theirs
 MASK = np.uint64((1 << HASH) - 1)
 VALUES = bitmap.mixed(np.arange(1, 257, dtype=np.uint64) * NEXT)
 
@@ -249,11 +249,12 @@ def scored(counts: DataFrame) -> DataFrame:
     both = parts.join(part("left", "l"), ["lang", "left"]).join(part("right", "r"), ["lang", "right"])
     whole = F.concat_ws(" ", "left", "right").alias("phrase")
     lowest = F.min(F.struct(F.expr(SCORE).alias("score"), "k", "l", "r")).alias("cut")
-    return both.groupBy("lang", whole, "size", "a").agg(lowest).select("lang", "phrase", "size", "a", "cut.l", "cut.r", "cut.score")
+    one = [F.first(c).alias(c) for c in ("size", "a")]  # grouped as `longest` is, so that both meet where they are
+    return both.groupBy("lang", whole).agg(*one, lowest).select("lang", "phrase", "size", "a", "cut.l", "cut.r", "cut.score")
 
 
-def covered(counts: DataFrame, max_words: int, percent: int) -> DataFrame:
-    """(lang, phrase) of candidates inside a longer one that occurs at least `percent` times in a hundred of theirs."""
+def longest(counts: DataFrame, max_words: int) -> DataFrame:
+    """(lang, phrase, longer): of phrases inside longer candidates, the most that one of these occurs."""
     words = F.split("phrase", " ")
 
     def parts(m: int) -> Column:
@@ -262,11 +263,9 @@ def covered(counts: DataFrame, max_words: int, percent: int) -> DataFrame:
         return F.when(F.col("size") > m, some).otherwise(F.array().cast("array<string>"))
 
     inner = [parts(m) for m in range(2, max_words)]
-    if not inner:
-        return counts.select("lang", "phrase").limit(0)
-    longer = counts.where("size >= 3").select("lang", F.col("n").alias("longer"), F.explode(F.concat(*inner)).alias("phrase"))
-    most = longer.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
-    return counts.join(most, ["lang", "phrase"]).where(F.col("longer") * 100 >= F.col("n") * percent).select("lang", "phrase")
+    each = F.concat(*inner) if inner else F.array().cast("array<string>")
+    longer = counts.where("size >= 3").select("lang", F.col("n").alias("longer"), F.explode(each).alias("phrase"))
+    return longer.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
 
 
 def collocations(docs: DataFrame, max_words: int = 3, min_count: int = 10, top: int = 2000, percent: int = 50) -> DataFrame:
@@ -276,7 +275,8 @@ def collocations(docs: DataFrame, max_words: int = 3, min_count: int = 10, top:
     checkpoint_dir(docs.sparkSession)
     counts = phrase_counts(docs, max_words, min_count).checkpoint()
     totals = counts.where("size = 0").select("lang", F.col("n").alias("n"))
-    kept = scored(counts).join(covered(counts, max_words, percent), ["lang", "phrase"], "left_anti")
+    met = scored(counts).join(longest(counts, max_words), ["lang", "phrase"], "left")
+    kept = met.where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * percent)).drop("longer")
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
     ranked = kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     found = ranked.join(few(totals), "lang")
