@@ -18,3 +18,8 @@ def check(spark, top, name, **tables):
 def test_detections_that_recur_in_a_paragraph(spark, tmp_path):
     texts = ["no one\nat 10.1.2.3 and a.b@mail.example.com, again 10.1.2.3 and a.b@mail.example.com\n10.1.2.3", "x10.1.2.3 or 10.1.2.3"]
     assert len(check(spark, tmp_path, "attributed_detections", documents=(list(enumerate(texts)), "doc_id long, text string"))) == 6
+
+
+def test_word_edges_are_those_of_sql(spark, tmp_path):
+    texts = ["é10.1.2.3 or 10.1.2.4é", "10.1.2.5"]
+    assert len(check(spark, tmp_path, "attributed_detections", documents=(list(enumerate(texts)), "doc_id long, text string"))) == 3
