@@ -23,3 +23,12 @@ def test_detections_that_recur_in_a_paragraph(spark, tmp_path):
 def test_word_edges_are_those_of_sql(spark, tmp_path):
     texts = ["é10.1.2.3 or 10.1.2.4é", "10.1.2.5"]
     assert len(check(spark, tmp_path, "attributed_detections", documents=(list(enumerate(texts)), "doc_id long, text string"))) == 3
+
+
+def test_detections_are_made_once(spark, sf):
+    from leafmill.operators import anonymize
+    from leafmill.plans import privacy
+
+    done = anonymize.anonymize_texts(privacy.detectable(spark, sf), privacy.WHOLE, "salt", existing=3)
+    for df in (done.vault, done.rows, done.statistics):
+        assert "MapInArrow" not in df._jdf.queryExecution().executedPlan().toString()
