@@ -32,3 +32,8 @@ def test_detections_are_made_once(spark, sf):
     done = anonymize.anonymize_texts(privacy.detectable(spark, sf), privacy.WHOLE, "salt", existing=3)
     for df in (done.vault, done.rows, done.statistics):
         assert "MapInArrow" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_references_without_semicolons_are_text(spark, tmp_path):
+    page = "<html><body><h1>a &amp;&lt b &amp</h1><p>c &#39 d &#39; &quot</p></body></html>"
+    assert check(spark, tmp_path, "html_tree", pages=([(1, page)], "page_id long, html string"))
