@@ -37,3 +37,8 @@ def test_detections_are_made_once(spark, sf):
 def test_references_without_semicolons_are_text(spark, tmp_path):
     page = "<html><body><h1>a &amp;&lt b &amp</h1><p>c &#39 d &#39; &quot</p></body></html>"
     assert check(spark, tmp_path, "html_tree", pages=([(1, page)], "page_id long, html string"))
+
+
+def test_stitching_ends_at_a_missing_batch(spark, tmp_path):
+    texts = ["\n".join(["x" * n, "short", "y" * 3000, "z" * 3000, "end"]) for n in (9000, 100, 6001)]
+    assert check(spark, tmp_path, "stitch_regions", documents=(list(enumerate(texts)), "doc_id long, text string"))
