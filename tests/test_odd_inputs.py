@@ -35,7 +35,7 @@ def test_detections_are_made_once(spark, sf):
 
 
 def test_references_without_semicolons_are_text(spark, tmp_path):
-    page = "<html><body><h1>a &amp;&lt b &amp</h1><p>c &#39 d &#39; &quot</p></body></html>"
+    page = "<html><body><article><h1>a &amp;&lt b &amp</h1><p>c &#39 d &#39; &quot</p></article></body></html>"
     assert check(spark, tmp_path, "html_tree", pages=([(1, page)], "page_id long, html string"))
 
 
