@@ -42,3 +42,11 @@ def test_references_without_semicolons_are_text(spark, tmp_path):
 def test_stitching_ends_at_a_missing_batch(spark, tmp_path):
     texts = ["\n".join(["x" * n, "short", "y" * 3000, "z" * 3000, "end"]) for n in (9000, 100, 6001)]
     assert check(spark, tmp_path, "stitch_regions", documents=(list(enumerate(texts)), "doc_id long, text string"))
+
+
+def test_reading_order_deals_each_text_out_once(spark, tmp_path):
+    texts = ["a  b\n\n c ", None, "", "x" * 2999 + "\ny z\nlast"]
+    rows = check(spark, tmp_path, "unnest_reading_order", documents=(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r[1] for r in rows if "keyValuePair" in r] == [0, 1, 2, 3]
+    plan = catalog.QUERIES["unnest_reading_order"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
