@@ -198,11 +198,19 @@ def possible(ids: np.ndarray, at: np.ndarray, hashes: list[np.ndarray], size: in
     return ok
 
 
+def fewer_tasks(rows: DataFrame) -> DataFrame:
+    """rows in half as many partitions, but not fewer than cores: what two tasks would both send is summed by one."""
+    parts = rows.rdd.getNumPartitions()
+    most = max(rows.sparkSession.sparkContext.defaultParallelism, (parts + 1) // 2)
+    return rows.coalesce(most) if most < parts else rows
+
+
 def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10) -> DataFrame:
     """lang, size, phrase and n: phrases of 1 to max_words words with n >= min_count, and size 0 with all words of the lang."""
     spark = docs.sparkSession
-    small_arrow_batches(spark)
+    small_arrow_batches(spark, "4m")
     narrow = docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
+    narrow = fewer_tasks(narrow)
     maps: dict[int, np.ndarray] = {}
     for m in range(1, max_words + 1):
         maps[m] = bitmap.of(counted_hashes(narrow, m, maps, min_count), PROBES)

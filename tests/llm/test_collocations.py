@@ -109,3 +109,12 @@ def test_query_equals_its_sql(spark):
     sf = "/root/testdata/sf0.01"
     found = oracle.by_spark(collocations.query(spark, sf))
     assert found == oracle.by_sql(collocations.SQL, sf) and len(found[1]) > 100
+
+
+def test_tasks_are_halved_but_not_below_the_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    for given, left in ((1, 1), (cores, cores), (cores + 1, cores), (4 * cores + 1, 2 * cores + 1)):
+        rows = spark.range(100).repartition(given)
+        kept = collocations.fewer_tasks(rows)
+        assert kept.rdd.getNumPartitions() == left
+        assert kept.count() == 100
