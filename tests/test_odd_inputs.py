@@ -46,6 +46,11 @@ def test_references_that_sql_does_not_know_are_text(spark, tmp_path):
     assert len(check(spark, tmp_path, "page_outline", pages=pages)) == 4
 
 
+def test_given_page_offsets_of_negative_documents(spark, tmp_path):
+    texts = ["x\n" * 4000, "y" * 7000 + "\nz", None, "", "a\nb"]
+    assert check(spark, tmp_path, "stitch_regions", documents=([(k - 9, t) for k, t in enumerate(texts * 3)], "doc_id long, text string"))
+
+
 def test_stitching_ends_at_a_missing_batch(spark, tmp_path):
     texts = ["\n".join(["x" * n, "short", "y" * 3000, "z" * 3000, "end"]) for n in (9000, 100, 6001)]
     assert check(spark, tmp_path, "stitch_regions", documents=(list(enumerate(texts)), "doc_id long, text string"))
