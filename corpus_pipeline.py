@@ -36,7 +36,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: 0.8 similar by shingles of five words."""
+    """One document of each group of near-duplicates, 0.8 similar by shingles of five words: SimHash, then exactly beyond its radius."""
     return similar.keep_one_of_similar(docs)
 
 

@@ -10,8 +10,8 @@ A bucket of over `bucket_limit` members emits no pairs. Its members are linked e
 fingerprints are within 2 bits if and only if the balls of radius 1 around them meet, so each member sends its 65 ball
 keys and everyone at a key is linked to the smallest member there. That needs radius 2; smaller radii verify the star.
 
-Two bits of 64 are far stricter than a similarity of 0.8; `similar` carries the method over to the sets of shingles, where
-that similarity has an exact radius. The pipeline's stage uses it.
+Two bits of 64 are far stricter than a similarity of 0.8; `similar` runs this method first and then finds exactly what lies
+beyond the radius. The pipeline's stage uses it.
 
 Defined results: null or empty texts have fingerprint zero and are linked like any other; a text of one or two words is
 one shingle; rows with the same doc_id are separate rows with one component; a null doc_id never names a component
@@ -47,12 +47,16 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     n = max(1, len(words) - width + 1)
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in spans), dtype="<u8", count=n)
+    return majority(np.fromiter((digest(joined[s:e], SEED) for s, e in spans), dtype="<u8", count=n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of some 64-bit hashes, unsigned."""
     ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, n, 1 << 14):  # whole texts in pieces of bounded memory
+    for at in range(0, len(hashes), 1 << 14):  # whole texts in pieces of bounded memory
         part = hashes[at : at + (1 << 14)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    set_bits = np.packbits((2 * ones > n).astype(np.uint8), bitorder="little")
+    set_bits = np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little")
     return int(set_bits.view("<u8")[0])
 
 

@@ -1,9 +1,13 @@
-"""Near-duplicates by the similarity of their shingle sets: the generalised pigeonhole on the sets' own bits, exactly.
+"""Near-duplicates by SimHash and the generalised pigeonhole, and exactly by the shingle sets' own bits beyond the radius.
+
+First the method of `simhash` runs on fingerprints of the texts' shingle sets: correlated bits are grouped, thresholds of
+least estimated work are allocated by dynamic programming, fingerprints are probed, and those within `simhash`'s radius are
+verified on their sets. Sets of one fingerprint are verified against the least of them. What this links is one class.
 
 A SimHash of 64 bits shows a Jaccard similarity of 0.8 as about ten differing bits, with a deviation of three. A radius
-that misses few such pairs (15) leaves the pigeonhole of `simhash` no selective partition, and its links would be right by
-chance only. So `keep_one_of_similar` takes the widest fingerprint there is, the set of all 64-bit shingle hashes with one
-bit for each, and keeps the method's steps: partitions, unequal thresholds of least estimated work, probe, verify.
+that misses few such pairs (15) leaves the pigeonhole no selective partition, and its links would be right by chance only.
+So an exact search follows for the pairs that the first step left in different classes. It takes the widest fingerprint
+there is, the set of all 64-bit shingle hashes with one bit for each: partitions, unequal thresholds, probe, verify.
 
 A set of n bits may miss n - ceil(similarity * n) of them in a similar set; so of any one bit more, one is shared. Every
 bit is a partition, with threshold 0 (probed) or -1 (not probed). The estimated candidates of a bit follow from counts of
@@ -36,6 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm import simhash
 from leafmill.llm.simhash import SEED, components, keep_first
 from leafmill.session import checkpoint_dir, few, small_arrow_batches
 
@@ -159,15 +164,15 @@ def listed(parts: list[np.ndarray]) -> pa.Array:
 
 
 def gated(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets (node, size, odd) do not differ in more parities than similar ones can.
+    """The pairs (u, v) of different labels whose sets (node, size, odd, label) do not differ in more parities than similar ones can.
 
     Sizes of a pair are within the similarity of each other, so one has at most twice the other's counters; halves fold.
     """
-    side = lambda node, odd, size: sets.select(F.col("node").alias(node), F.col("odd").alias(odd), F.col("size").alias(size))
+    side = lambda node, odd, size, label: sets.select(F.col("node").alias(node), F.col("odd").alias(odd), F.col("size").alias(size), F.col("label").alias(label))
     half = lambda c: (F.size(c) / 2).cast("int")
     folded = lambda c, other: F.when(F.size(c) > F.size(other), F.zip_with(F.slice(c, F.lit(1), half(c)), F.slice(c, half(c) + 1, half(c)), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c))
     apart = F.aggregate(F.zip_with(folded("a", "b"), folded("b", "a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    met = pairs.join(side("u", "a", "p"), "u").join(side("v", "b", "q"), "v")
+    met = pairs.join(side("u", "a", "p", "x"), "u").join(side("v", "b", "q", "y"), "v").where("x <> y")
     return met.where(apart <= (1 - similarity) / (1 + similarity) * (F.col("p") + F.col("q")) + 1e-6).select("u", "v")
 
 
@@ -294,6 +299,18 @@ def verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame, width: int, si
     return met.mapInArrow(run, "u long, v long").checkpoint()
 
 
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """(u, v), u < v, of sets (node, fingerprint) whose fingerprints the generalised pigeonhole finds within its radius.
+
+    Each fingerprint stands by its least node; the other nodes of a fingerprint meet that one. So there are no squares.
+    """
+    prints = sets.groupBy("fingerprint").agg(F.min("node").alias("least"), F.count("*").alias("n")).checkpoint()
+    stands = lambda f, node: prints.select(F.col("fingerprint").alias(f), F.col("least").alias(node))
+    near = simhash.links(prints.select("fingerprint")).join(stands("u", "x"), "u").join(stands("v", "y"), "v")
+    same = sets.select("fingerprint", "node").join(few(prints.where("n > 1").select("fingerprint", "least")), "fingerprint").where("least < node")
+    return near.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).union(same.select(F.col("least").alias("u"), F.col("node").alias("v")))
+
+
 def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, __hash (of the text) and root of each row: rows of one root are near-duplicates. similarity: 0.5 to 1."""
     if not 0.5 <= similarity <= 1:
@@ -312,14 +329,19 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
             nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), dtype=np.uint64, count=len(sets)).view(np.int64)
             keys = [probed(s, sent.value, similarity).view(np.int64) for s in sets]
             odd = listed([parities(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__hash"), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), listed(keys), odd], names=["doc_id", "__hash", "node", "size", "keys", "odd"])
+            prints = np.fromiter((simhash.majority(s) for s in sets), dtype=np.uint64, count=len(sets)).view(np.int64)
+            found = [b.column("doc_id"), b.column("__hash"), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints), listed(keys), odd]
+            yield pa.RecordBatch.from_arrays(found, names=["doc_id", "__hash", "node", "size", "fingerprint", "keys", "odd"])
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    marks = narrow.mapInArrow(run, f"doc_id {kind}, __hash long, node long, size long, keys array<long>, odd array<long>").checkpoint()
-    sets = marks.select("node", "size", "odd").dropDuplicates(["node"])
+    marks = narrow.mapInArrow(run, f"doc_id {kind}, __hash long, node long, size long, fingerprint long, keys array<long>, odd array<long>").checkpoint()
+    single = marks.select("node", "size", "fingerprint", "odd", F.col("node").alias("label")).dropDuplicates(["node"]).checkpoint()
+    links = verified(gated(fingerprint_pairs(single), single, similarity), docs, marks, width, similarity)
+    first = components(links).select(F.col("node").alias("__node"), "root")
+    sets = single.drop("label").join(first, F.col("node") == F.col("__node"), "left").select("node", "size", "odd", F.coalesce("root", "node").alias("label")).checkpoint()
     keyed = marks.select("node", "size", "keys").dropDuplicates(["node"]).select("node", "size", F.posexplode("keys").alias("at", "key")).select("key", "node", "size", F.col("at").cast("long").alias("at"))
     met = meetings(keyed, similarity).checkpoint()
-    links = verified(gated(met.where("v is not null").select("u", "v").distinct(), sets, similarity), docs, marks, width, similarity)
+    links = links.union(verified(gated(met.where("v is not null").select("u", "v").distinct(), sets, similarity), docs, marks, width, similarity))
     many = met.where("v is null").select("key", F.col("u").alias("node"), "size", "at")
     if many.limit(1).count():
         known = components(links).select(F.col("node").alias("__node"), "root")

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from leafmill.llm import similar
+from leafmill.llm import simhash, similar
 
 
 def shingles(text, width=5):
@@ -135,3 +135,25 @@ def test_rows_that_stay(spark):
     assert similar.keep_one_of_similar(docs.limit(0)).count() == 0
     named = spark.createDataFrame([("x", base), ("b", base)], "doc_id string, text string")
     assert [r["doc_id"] for r in similar.keep_one_of_similar(named).collect()] == ["b"]
+
+
+def test_near_fingerprints_are_found_by_the_planned_pigeonhole(spark, monkeypatch):
+    random.seed(14)
+    texts = []
+    for i in range(150):
+        t = [f"t{i}w{k}" for k in range(400)]
+        texts += [" ".join(t), " ".join([*t[:-1], f"other{i}"])]
+    seen, plan = [], simhash.plan
+    monkeypatch.setattr(simhash, "plan", lambda *a, **k: seen.append(plan(*a, **k)) or seen[-1])
+    links = [tuple(sorted(p)) for p in zip(*[iter(simhash.majority(similar.shingle_hashes(pa.array([t]), 5)[0]) for t in texts)] * 2, strict=True)]
+    near = {i for i, (a, b) in enumerate(links) if (a ^ b).bit_count() <= 2}
+    assert len(near) > 50
+    nothing = similar.meetings
+    monkeypatch.setattr(similar, "meetings", lambda keyed, s: nothing(keyed.limit(0), s))  # without the search beyond the radius
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {r["doc_id"]: r["root"] for r in similar.similar_classes(docs).collect()}
+    assert {i for i in range(150) if root[2 * i] == root[2 * i + 1]} == near and len(set(root.values())) == 300 - len(near)
+    (groups, thresholds), radius = seen[0], 2
+    assert sorted(b for g in groups for b in g) == list(range(64)) and sum(thresholds) == radius - len(groups) + 1
+    monkeypatch.setattr(similar, "meetings", nothing)
+    compare(spark, texts)
