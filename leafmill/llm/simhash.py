@@ -34,6 +34,7 @@ from leafmill.session import checkpoint_dir, few, quoted, small_arrow_batches
 
 BITS = 64
 SEED = 42
+PART = 100_000  # edges of a partition
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -206,29 +207,37 @@ def links(distinct: DataFrame, radius: int = 2, bucket_limit: int = 64) -> DataF
     return pairs.union(stars).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): root is the smallest node of the component; nodes without an edge are absent.
+def stars(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(u, v): each node v that isn't the smallest of its component of edges (u, v), u < v, and that smallest u.
 
     Alternates large-star and small-star steps; each round is cut by checkpoint() and moves only edges, so a lost
-    executor repeats one round. Raises if the last round still changed edges.
+    executor repeats one round. Edges are settled if no node stands below two others or both above and below; edges that
+    come so need no round. Few edges are kept in few partitions. Raises if the last round still left others.
     """
-    spark = edges.sparkSession
-    checkpoint_dir(spark)
-    current, before = edges.select("u", "v").checkpoint(), None
+    checkpoint_dir(edges.sparkSession)
+    current = edges.select("u", "v").checkpoint()
+    side = lambda node, above: F.struct(F.col(node).alias("node"), above.alias("above"))
     for _ in range(rounds):
-        state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        ends = current.select(F.explode(F.array(side("v", F.col("u")), side("u", F.when(F.lit(False), F.col("u"))))).alias("e")).select("e.node", "e.above")
+        nodes = ends.groupBy("node").agg(F.min("above").alias("low"), F.max("above").alias("high"), F.count("above").alias("k"), F.count("*").alias("n"))
+        unsettled, n = nodes.agg(F.count_if(F.expr("low < high or k > 0 and k < n")), F.sum("k")).first()
+        if not unsettled:
             break
-        before = state
-        both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        parts = max(2, math.ceil(n / PART))
+        both = current.coalesce(parts).select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").distinct()
         down = large.groupBy("v").agg(F.min("u").alias("m"))
-        current = (
-            large.join(down, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u < v").distinct().checkpoint()
-        )
+        small = large.join(down, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u < v").distinct()
+        current = small.coalesce(parts).checkpoint()
     else:
         raise RuntimeError("components did not settle")
+    return current
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, root): root is the smallest node of the component; nodes without an edge are absent."""
+    current = stars(edges, rounds)
     named = current.select(F.col("v").alias("node"), F.col("u").alias("root"))
     return named.union(current.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 

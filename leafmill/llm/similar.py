@@ -41,8 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import simhash
-from leafmill.llm.simhash import SEED, components, keep_first
-from leafmill.session import checkpoint_dir, few, small_arrow_batches
+from leafmill.llm.simhash import SEED, keep_first, stars
+from leafmill.session import checkpoint_dir, few, shuffles_cleared, small_arrow_batches
 
 COUNTERS = 1 << 18
 LIMIT = 16
@@ -311,6 +311,12 @@ def fingerprint_pairs(sets: DataFrame) -> DataFrame:
     return near.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).union(same.select(F.col("least").alias("u"), F.col("node").alias("v")))
 
 
+def labelled(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """rows with `label`, the smallest node that their node is linked with in `stars`."""
+    roots = few(linked.select(F.col("v").alias("__node"), F.col("u").alias("__root")))
+    return rows.join(roots, F.col("node") == F.col("__node"), "left").withColumn("label", F.coalesce("__root", "node")).drop("__node", "__root")
+
+
 def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, __hash (of the text) and root of each row: rows of one root are near-duplicates. similarity: 0.5 to 1."""
     if not 0.5 <= similarity <= 1:
@@ -337,20 +343,18 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     marks = narrow.mapInArrow(run, f"doc_id {kind}, __hash long, node long, size long, fingerprint long, keys array<long>, odd array<long>").checkpoint()
     single = marks.select("node", "size", "fingerprint", "odd", F.col("node").alias("label")).dropDuplicates(["node"]).checkpoint()
     links = verified(gated(fingerprint_pairs(single), single, similarity), docs, marks, width, similarity)
-    first = components(links).select(F.col("node").alias("__node"), "root")
-    sets = single.drop("label").join(first, F.col("node") == F.col("__node"), "left").select("node", "size", "odd", F.coalesce("root", "node").alias("label")).checkpoint()
+    linked = stars(links)
+    sets = labelled(single.drop("label"), linked).select("node", "size", "odd", "label").checkpoint()
     keyed = marks.select("node", "size", "keys").dropDuplicates(["node"]).select("node", "size", F.posexplode("keys").alias("at", "key")).select("key", "node", "size", F.col("at").cast("long").alias("at"))
     met = meetings(keyed, similarity).checkpoint()
-    links = links.union(verified(gated(met.where("v is not null").select("u", "v").distinct(), sets, similarity), docs, marks, width, similarity))
+    linked = stars(linked.union(verified(gated(met.where("v is not null").select("u", "v").distinct(), sets, similarity), docs, marks, width, similarity)))
     many = met.where("v is null").select("key", F.col("u").alias("node"), "size", "at")
     if many.limit(1).count():
-        known = components(links).select(F.col("node").alias("__node"), "root")
-        labelled = many.join(known, F.col("node") == F.col("__node"), "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("label")).checkpoint()
-        mixed_keys = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "n")
-        candidates = gated(across(labelled.join(mixed_keys, "key"), similarity), sets, similarity)
-        links = links.union(verified(candidates, docs, marks, width, similarity)).distinct()
-    found = components(links).select(F.col("node").alias("__node"), "root")
-    return marks.join(found, F.col("node") == F.col("__node"), "left").select("doc_id", "__hash", F.coalesce("root", "node").alias("root"))
+        members = labelled(many, linked).checkpoint()
+        mixed_keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "n")
+        candidates = gated(across(members.join(mixed_keys, "key"), similarity), sets, similarity)
+        linked = stars(linked.union(verified(candidates, docs, marks, width, similarity)))
+    return labelled(marks, linked).select("doc_id", "__hash", F.col("label").alias("root"))
 
 
 def keep_one_of_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -359,4 +363,6 @@ def keep_one_of_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8
     Of rows that repeat a doc_id in one class one stays. Rows without doc_id go where their class has a row with one, else
     the smallest text hash stays. All columns pass, under any names.
     """
-    return keep_first(docs, similar_classes(docs, width, similarity).checkpoint())
+    with shuffles_cleared(docs.sparkSession):
+        rooted = similar_classes(docs, width, similarity).checkpoint()
+    return keep_first(docs, rooted)

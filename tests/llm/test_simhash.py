@@ -132,3 +132,32 @@ def test_columns_of_any_name(spark):
     assert kept.columns == docs.columns and sorted(r["meta.url"] for r in kept.collect()) == ["a", "c"]
     named = spark.createDataFrame([("x", "same words in here"), ("y", "same words in here")], "doc_id string, text string")
     assert [r["doc_id"] for r in simhash.keep_representatives(named).collect()] == ["x"]
+
+
+def test_settled_edges_need_no_round(spark, monkeypatch):
+    kind, seen = type(spark.range(1)), []
+    checkpoint = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a: seen.append(1) or checkpoint(self, *a))
+    for edges, rounds in (([], 0), ([(1, 2), (1, 5), (3, 4), (1, 2)], 0), ([(1, 2), (2, 3)], 1)):
+        seen.clear()
+        found = simhash.components(spark.createDataFrame(edges, "u long, v long"))
+        root = {r["node"]: r["root"] for r in found.collect()}
+        assert root == {1: {}, 5: {1: 1, 2: 1, 5: 1, 3: 3, 4: 3}, 3: {1: 1, 2: 1, 3: 1}}[max([1, *(v for _, v in edges)])]
+        assert len(seen) == 1 + rounds
+
+
+def test_components_of_chains_equal_union_find(spark):
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(100)] + [tuple(sorted(rng.sample(range(200, 400), 2))) for _ in range(120)]
+    parent = {x: x for e in edges for x in e}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        a, b = sorted((top(u), top(v)))
+        parent[b] = a
+    found = simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert sorted((r["node"], r["root"]) for r in found) == sorted((x, top(x)) for x in parent)

@@ -1,6 +1,8 @@
 """Similarity of shingle sets against all pairs, in hot groups, from just the limit, and over the table."""
 
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -157,3 +159,24 @@ def test_near_fingerprints_are_found_by_the_planned_pigeonhole(spark, monkeypatc
     assert sorted(b for g in groups for b in g) == list(range(64)) and sum(thresholds) == radius - len(groups) + 1
     monkeypatch.setattr(similar, "meetings", nothing)
     compare(spark, texts)
+
+
+def test_shuffle_files_go_with_their_actions(spark, monkeypatch):
+    jvm = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {f for d in jvm.localDirsString() for f in Path(d).rglob("shuffle_*")}
+    before, left = files(), []
+
+    def looked(docs, rooted):
+        for _ in range(50):  # they are removed in the background
+            if files() <= before:
+                break
+            time.sleep(0.2)
+        left.append(len(files() - before))
+        return keep_first(docs, rooted)
+
+    keep_first = similar.keep_first
+    monkeypatch.setattr(similar, "keep_first", looked)
+    docs = spark.createDataFrame([(i, f"a{i // 2} b c d e f g h i{i // 2} j k l m n") for i in range(60)], "doc_id long, text string")
+    assert similar.keep_one_of_similar(docs).count() == 30
+    assert left == [0]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
